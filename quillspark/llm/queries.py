@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_pieces, quality_gam, quality_rules
+from . import block_anchors, bpe_pieces, quality_gam, quality_rules, run_index
 from .common import table
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.query(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -17,10 +21,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.query(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_classifier, op7_quality_rules, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op9_substring_dedup, op10_piece_encoding)}
 
 ORACLES: dict[str, str] = {}
