@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, bpe_pieces, metric_join, quality_gam, quality_rules, run_index
+from . import block_anchors, bpe_pieces, decontamination, metric_join, quality_gam, quality_rules, run_index
 from .common import table
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -33,6 +37,6 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op9_substring_dedup, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op9_substring_dedup, op10_piece_encoding)}
 
 ORACLES: dict[str, str] = {}
