@@ -48,23 +48,14 @@ def finder(s: Spec) -> Finder:
         found = fits & (index[back] == probe)
         weight = np.repeat(p.count, words.counts)[: len(found)]
         hits = found & (np.bincount(back[found], weight[found], len(index))[back] > 1)
-        # windows that hold a hit, each counted where its first least minimizer is the piece's own
+        # windows that hold a hit
         total = np.concatenate([[0], np.cumsum(hits)])
-        whole = K.window_ok(first, n, s.length)
-        start = np.flatnonzero(whole)
+        start = np.flatnonzero(K.window_ok(first, n, s.length))
         start = start[total[start + s.length - block + 1] > total[start]]
-        grams = K.ngrams(h, s.k)
-        low = K.sliding_min(grams, s.span)
         piece = np.searchsorted(first, start, "right") - 1
-        center = first[piece] + p.center[piece]
-        inside = (center >= start) & (center < start + s.span) & (low[start] == p.fp[piece])
-        start, piece, center = start[inside], piece[inside], center[inside]
-        equal = np.concatenate([[0], np.cumsum(grams == np.repeat(p.fp, words.counts)[: len(grams)])])
-        lone = equal[center] == equal[start]  # no equal minimizer before it in the window
-        start, piece = start[lone], piece[lone]
         # extension: equal whole windows
         key = K.ngrams(h, s.length)[start]
-        _, same, = np.unique(key, return_inverse=True)
+        _, same = np.unique(key, return_inverse=True)
         often = np.bincount(same, p.count[piece])[same] > 1 if len(same) else np.zeros(0, bool)
         for a, k in zip((start - first[piece])[often].tolist(), piece[often].tolist()):
             spans = out[k]
@@ -92,7 +83,7 @@ def _marks(spans: pa.Array, sizes: np.ndarray, n: int, keep=None) -> np.ndarray:
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each document's words that repeated windows cover: identity columns and _spans (in words)."""
+    """``docs`` (doc_id, text) with identity columns, _n (rows of its text) and _spans (repeated words)."""
     s = spec(window)
     return repeated_spans(identity(docs), s, finder(s))
 
@@ -104,9 +95,11 @@ def query(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = K.buffers(b.column(1))
+            copied = b.column(3).to_numpy(zero_copy_only=False) > 1
             for i, j in K.slices(offsets):
                 words = K.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 gone = _marks(b.column(2).slice(i, j - i), words.first, len(words.starts))
+                gone |= np.repeat(copied[i:j] & (words.counts >= window), words.counts)
                 raw = words.data.tobytes()
                 keep = np.flatnonzero(~gone)
                 texts = [raw[x:y] for x, y in zip(words.starts[keep].tolist(), words.ends[keep].tolist())]
@@ -115,4 +108,4 @@ def query(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n_gone = words.counts - np.diff(cut)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words.counts.astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return removed(docs, window).select("doc_id", "_text", "_spans").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return removed(docs, window).select("doc_id", "_text", "_spans", "_n").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

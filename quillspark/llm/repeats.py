@@ -1,22 +1,24 @@
-"""Where a corpus repeats itself: candidate regions and routed pieces, for exact repeat finders.
+"""Where a corpus repeats itself: candidate pieces routed by minimizer, for exact repeat finders.
 
 A *window* is ``length`` consecutive items (bytes or words) of one text. Each window's *minimizer*
-is its least ``k``-item hash. Equal windows have equal minimizers, so a window that occurs twice has
-a minimizer that occurs twice. Three steps, all linear in the input:
+is the leftmost of its least ``k``-item hashes. Equal windows have equal minimizers, so a window that
+occurs twice has a minimizer that occurs twice. Texts that are equal as a whole count once, under their
+content hash. Three steps, all linear in the input:
 
-1. ``shared_minimizers``: per document, the minimizers that occur elsewhere too. Each chunk of
+1. ``shared_minimizers``: per text, the minimizers that occur elsewhere too. Each chunk of
    documents first settles what repeats within the chunk and asks about the rest once, so a
-   minimizer's group has at most one entry per chunk, however many documents hold it.
-2. ``pieces``: around each shared minimizer, the items of all windows that can have it. Equal pieces
-   of a chunk are sent once; the others point to it.
-3. ``resolve``: pieces meet by minimizer in one partition, where an exact finder marks the windows.
-   Its answers go back through the pointers to (document, position) spans.
+   minimizer has at most one question per chunk, however many documents hold it.
+2. ``pieces``: the items of all windows of one shared minimizer's place. Equal pieces of a chunk are
+   sent once, packed by destination; the chunk keeps the list of their places.
+3. ``resolve``: pieces meet by minimizer, where an exact finder marks the windows. Its answers go
+   back to the chunks, which turn them into spans of texts.
 
-The filter only leaves out windows that occur once; every decision is made by the finder in step 3.
+The filter only leaves out windows that occur once; every other window is judged by the finder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import staged, tune, width
 
-#: The columns of a placed piece: its minimizer, text, the minimizer's item in it, its place, and where its rep's minimizer is.
-PLACED = {"_fp": "bigint", "_piece": "binary", "_c": "bigint", "_id": "bigint", "_h": "bigint", "_at": "bigint", "_rep_id": "bigint", "_rep_h": "bigint", "_rep_at": "bigint"}
 #: Text of a chunk, in bytes.
 CHUNK_BYTES = 12 << 20
+#: Text that a finder gets at once, in bytes.
+FIND_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -49,10 +54,15 @@ class Spec:
         return self.length - self.k + 1
 
 
-def identity(docs: DataFrame) -> DataFrame:
-    """doc_id, _id (never null), _h (tells texts with one id apart) and _text (never null)."""
+def identity(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, _id (never null), _cid (hash of the text), _text (never null) and the columns ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.crc32(text).cast("bigint").alias("_h"), text.alias("_text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text, F.length(text)).alias("_cid"), text.alias("_text"), *more)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """_cid, its smallest _id (_least) and its number of rows (_n)."""
+    return docs.groupBy("_cid").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
 
 
 class Items:
@@ -86,10 +96,26 @@ class Items:
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
-    def piece_bounds(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items that windows with the minimizer at ``at`` can touch."""
-        back = self.spec.span - 1
-        return np.maximum(at - back, self.first[row]), np.minimum(at + self.spec.length, self.first[row + 1])
+    def windows_of(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the windows whose minimizer is the one at ``at`` (last < first: none)."""
+        w, g = self.spec.span, self.grams
+        begin, end = self.first[row], self.first[row + 1]
+        low, high = np.maximum(at - w + 1, begin), np.minimum(at, end - self.spec.length)
+        own = g[at]
+        for d in range(1, w):
+            q = np.maximum(at - d, 0)
+            low = np.where((at - d >= begin) & (g[q] <= own), np.maximum(low, q + 1), low)
+            q = np.minimum(at + d, len(g) - 1)
+            high = np.where((at + d <= end - self.spec.k) & (g[q] < own), np.minimum(high, q - w), high)
+        return low, high
+
+    def span_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.spec.unit == "words":
+            value = self.words.hashes()
+        else:
+            value = K.mix(self.data.astype(np.uint64) + np.uint64(1))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * K.powers(_STEP, len(value)))])
+        return K.mix((total[b] - total[a]) * K.powers(_BACK, len(value) + 1)[a] + (b - a).astype(np.uint64))
 
     def texts(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
         """The items of each span; words are joined by one space."""
@@ -132,8 +158,29 @@ def _column(table: pa.Table, name: str):
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
 
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _np(table: pa.Table, name: str) -> np.ndarray:
+    return _column(table, name).to_numpy(zero_copy_only=False)
+
+
+def _lists(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The values of each owner (owners sorted)."""
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[head], pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)).astype(np.int32)), pa.array(value))
+
+
 def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
-    """_id and _shared: its minimizers that occur elsewhere, for documents that have any."""
+    """_cid and _shared: its minimizers that occur elsewhere, for texts that have any."""
     spark = docs.sparkSession
     tune(spark)
     parts = width(spark)
@@ -141,108 +188,145 @@ def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
     def ask(batches):
         for held in _chunks(batches):
             t = _as_table(held)
-            ids = _column(t, "_id").to_numpy(zero_copy_only=False)
+            t = t.take(pa.array(np.unique(_np(t, "_cid"), return_index=True)[1]))
+            cids = _np(t, "_cid")
             data, offsets = K.buffers(_column(t, "_text"))
             fps, rows = [], []
             for i, j in K.slices(offsets):
                 x = Items(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, fp = x.minimizers()
                 fps.append(fp)
-                rows.append(ids[i + x.row_of(at)] if len(at) else np.zeros(0, np.int64))
+                rows.append(cids[i + x.row_of(at)] if len(at) else np.zeros(0, np.int64))
             fp, owner = np.concatenate(fps), np.concatenate(rows)
+            if not len(fp):
+                continue
             order = np.lexsort((owner, fp))
             fp, owner = fp[order], owner[order]
-            new_fp = np.concatenate([[True], fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, bool)
-            new_pair = new_fp | np.concatenate([[True], owner[1:] != owner[:-1]]) if len(fp) else new_fp
+            new_fp = np.concatenate([[True], fp[1:] != fp[:-1]])
+            new_pair = new_fp | np.concatenate([[True], owner[1:] != owner[:-1]])
             group = np.cumsum(new_fp) - 1
-            n_pairs = np.bincount(group, new_pair).astype(np.int64) if len(fp) else np.zeros(0, np.int64)
-            n_all = np.bincount(group) if len(fp) else n_pairs
-            known = (n_all if spec.same_document else n_pairs)[group] > 1
-            # 0: is it anywhere else? 1: it is known to repeat; tells the others. 2: known, for this document
-            first = np.flatnonzero(new_fp)
-            some = np.flatnonzero(new_pair & known)
+            times = np.bincount(group, None if spec.same_document else new_pair)
+            known = times[group] > 1
+            # 0: is it anywhere else? 1: it is known to repeat; tells the others. 2: known, for this text
+            first, some = np.flatnonzero(new_fp), np.flatnonzero(new_pair & known)
             kind = np.concatenate([known[first].astype(np.uint8), np.full(len(some), 2, np.uint8)])
-            fp2, own2 = fp[np.concatenate([first, some])], owner[np.concatenate([first, some])]
-            bucket = np.where(kind < 2, fp2 >> np.uint64(40), K.mix(own2.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % (4 * parts)
+            take = np.concatenate([first, some])
+            fp, owner = fp[take], owner[take]
+            bucket = np.where(kind < 2, fp >> np.uint64(40), K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
             order = np.argsort(bucket, kind="stable")
-            bucket, fp2, own2, kind = bucket[order], fp2[order], own2[order], kind[order]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(bucket))
-            blobs = []
-            for a, b in zip(cut.tolist(), ends.tolist()):
-                own = own2[a:b].view(np.uint8).reshape(-1, 8).T  # bytes of one place together compress well
-                blobs.append(fp2[a:b].tobytes() + own.tobytes() + kind[a:b].tobytes())
+            bucket, fp, owner, kind = bucket[order], fp[order], owner[order], kind[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [fp[a:b].tobytes() + owner[a:b].tobytes() + kind[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], names=["_bucket", "_blob"])
 
     def settle(batches):
-        fps, owners, kinds = [], [], []
+        got = []
         for b in batches:
             for blob in b.column(1).to_pylist():
                 n = len(blob) // 17
-                fps.append(np.frombuffer(blob, np.uint64, n))
-                owners.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 * n).reshape(8, n).T).view(np.int64).ravel())
-                kinds.append(np.frombuffer(blob, np.uint8, n, 16 * n))
-        if not fps:
+                got.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n), np.frombuffer(blob, np.uint8, n, 16 * n)))
+        if not got:
             return
-        fp, owner, kind = np.concatenate(fps), np.concatenate(owners), np.concatenate(kinds)
+        fp, owner, kind = (np.concatenate(x) for x in zip(*got))
         asked = kind < 2
-        _, back, count = np.unique(fp[asked], return_inverse=True, return_counts=True)
-        told = np.zeros(len(count), bool)
-        told[back[kind[asked] == 1]] = True
-        yes = (kind[asked] == 0) & (told | (count > 1))[back]
-        out_fp, out_owner = np.concatenate([fp[asked][yes], fp[~asked]]), np.concatenate([owner[asked][yes], owner[~asked]])
-        for i in range(0, len(out_fp), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(out_owner[i : i + 50_000]), pa.array(out_fp[i : i + 50_000].view(np.int64))], names=["_id", "_fp"])
+        known_fp, known_owner = fp[~asked], owner[~asked]
+        order = np.lexsort((owner[asked], fp[asked]))
+        fp, owner, kind = fp[asked][order], owner[asked][order], kind[asked][order]
+        if len(fp):
+            new_fp = np.concatenate([[True], fp[1:] != fp[:-1]])
+            new_pair = new_fp | np.concatenate([[True], owner[1:] != owner[:-1]])
+            group = np.cumsum(new_fp) - 1
+            yes = (kind == 0) & new_pair & ((np.bincount(group, new_pair) > 1) | (np.bincount(group, kind) > 0))[group]
+            fp, owner = fp[yes], owner[yes]
+        fp, owner = np.concatenate([fp, known_fp]), np.concatenate([owner, known_owner])
+        bucket = (K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
+        order = np.lexsort((fp, owner, bucket))
+        bucket, fp, owner = bucket[order], fp[order], owner[order]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+        blobs = [fp[a:b].tobytes() + owner[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], names=["_bucket", "_blob"])
+
+    def gather(batches):
+        got = []
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                n = len(blob) // 16
+                got.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n)))
+        if not got:
+            return
+        fp, owner = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(owner, kind="stable")
+        ids, lists = _lists(owner[order], fp[order].view(np.int64))
+        for i in range(0, len(ids), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1000]), lists.slice(i, 1000)], names=["_cid", "_shared"])
+
+    packed = "_bucket bigint, _blob binary"
+    found = docs.select("_cid", "_text").mapInArrow(ask, packed).repartition(parts, "_bucket").mapInArrow(settle, packed)
+    return found.repartition(parts, "_bucket").mapInArrow(gather, "_cid bigint, _shared array<bigint>")
 
-    asked = docs.select("_id", "_text").mapInArrow(ask, "_bucket bigint, _blob binary")
-    found = asked.repartition(parts, "_bucket").mapInArrow(settle, "_id bigint, _fp bigint")
-    return found.groupBy("_id").agg(F.collect_list("_fp").alias("_shared"))
 
+def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
+    """Packed pieces by destination, and each chunk's places (bucket -1).
 
-def pieces(docs: DataFrame, shared: DataFrame, spec: Spec) -> DataFrame:
-    """One row per shared minimizer and place. Rows with a null ``piece`` have the piece of their rep row."""
-    both = docs.join(shared, "_id").select("_id", "_h", "_text", "_shared")
+    texts: _cid, _least, _n, _text, _shared.
+    """
 
     def run(batches):
         for held in _chunks(batches):
             t = _as_table(held)
-            ids, hs = _column(t, "_id").to_numpy(zero_copy_only=False), _column(t, "_h").to_numpy(zero_copy_only=False)
+            cids, least, n = _np(t, "_cid"), _np(t, "_least"), _np(t, "_n")
             lists = _column(t, "_shared")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             list_at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             data, offsets = K.buffers(_column(t, "_text"))
-            seen: dict = {}
+            cols: list = [[], [], [], [], []]
+            texts: list = []
             for i, j in K.slices(offsets, 1 << 20):
                 x = Items(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, fp = x.minimizers()
                 row = x.row_of(at)
                 mine = flat[list_at[i] : list_at[j]]
-                mine_row = np.repeat(np.arange(j - i), np.diff(list_at[i : j + 1]))
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                keep = np.isin(K.mix(fp ^ (row.astype(np.uint64) * salt)), K.mix(mine ^ (mine_row.astype(np.uint64) * salt)))
+                mine_row = np.repeat(np.arange(j - i), np.diff(list_at[i : j + 1])).astype(np.uint64)
+                keep = np.isin(K.mix(fp ^ (row.astype(np.uint64) * _SALT)), K.mix(mine ^ (mine_row * _SALT)))
                 at, fp, row = at[keep], fp[keep], row[keep]
-                a, b = x.piece_bounds(at, row)
-                texts = x.texts(a, b)
-                place = a - x.first[row]
-                cols: tuple = ([], [], [], [], [], [], [], [], [])
-                for f, text, c, d, h, p in zip(fp.view(np.int64).tolist(), texts, (at - a).tolist(), ids[i + row].tolist(), hs[i + row].tolist(), place.tolist()):
-                    here = (d, h, p + c)
-                    rep = seen.setdefault((f, c, text), here)
-                    for col, v in zip(cols, (f, text if rep is here else None, c, d, h, p, *rep)):
-                        col.append(v)
-                kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=list(PLACED))
+                if not len(at):
+                    continue
+                a, b = x.windows_of(at, row)
+                some = a <= b
+                a, b, fp, row = a[some], b[some] + spec.length, fp[some], row[some]
+                for col, v in zip(cols, (fp, x.span_hashes(a, b), i + row, a - x.first[row], np.arange(len(texts), len(texts) + len(a)))):
+                    col.append(v)
+                texts += x.texts(a, b)
+            if not texts:
+                continue
+            fp, value, row, place, number = (np.concatenate(c) for c in cols)
+            order = np.lexsort((number, value, fp))
+            new = np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (value[order][1:] != value[order][:-1])])
+            rep = np.empty(len(order), np.int64)
+            rep[order] = np.cumsum(new) - 1
+            head = order[new]
+            count = np.bincount(rep, n[row]).astype(np.int64)
+            low = np.full(len(head), np.iinfo(np.int64).max)
+            np.minimum.at(low, rep, least[row])
+            chunk = uuid.uuid4().hex
+            out = [(-1, _pack(pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(cids[row]), pa.array(place.astype(np.int32))], names=["rep", "cid", "at"])))]
+            bucket = (fp[head] >> np.uint64(40)).astype(np.int64) % parts
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
+                k = order[a:b]
+                out.append((int(bucket[k[0]]), _pack(pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(fp[head[k]]), pa.array(low[k]), pa.array(count[k]), pa.array([texts[q] for q in head[k].tolist()], pa.binary())], names=["rep", "fp", "least", "n", "text"]))))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([chunk] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["_bucket", "_chunk", "_blob"])
 
-    return both.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in PLACED.items()))
+    return texts.select("_cid", "_least", "_n", "_text", "_shared").mapInArrow(run, "_bucket bigint, _chunk string, _blob binary")
 
 
 @dataclass
 class Pieces:
-    """One partition's distinct pieces: text, minimizer and its item, smallest document id, number of places."""
+    """Distinct pieces, in order of their minimizers: text, minimizer, smallest document id, number of places."""
 
     text: list
     fp: np.ndarray
-    center: np.ndarray
     least: np.ndarray
     count: np.ndarray
 
@@ -251,40 +335,82 @@ class Pieces:
 Finder = Callable[[Pieces], list]
 
 
-def resolve(placed: DataFrame, finder: Finder) -> DataFrame:
-    """_id, _h and _spans: the finder's (a, b, d) at their places in each document."""
-    spark = placed.sparkSession
-    parts = width(spark)
-    places = placed.groupBy("_fp", "_rep_id", "_rep_h", "_rep_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"), F.max("_piece").alias("_piece"), F.max("_c").alias("_c"))
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = _as_table(held)
-        fp, n, least, center = (_column(t, c).to_numpy(zero_copy_only=False) for c in ("_fp", "_n", "_least", "_c"))
-        text = _column(t, "_piece").to_pylist()
+def _found(chunks: list, tables: list, finder: Finder):
+    """(chunk, packed answers) for packed pieces of one destination."""
+    t = pa.concat_tables(tables)
+    chunk = np.repeat(np.arange(len(tables)), [x.num_rows for x in tables])
+    fp, least, n, rep = (_np(t, c) for c in ("fp", "least", "n", "rep"))
+    text = t.column("text").to_pylist()
+    order = np.argsort(fp, kind="stable")
+    ends = np.append(np.flatnonzero(fp[order][1:] != fp[order][:-1]) + 1, len(order))
+    answer: dict = {}
+    start, size = 0, 0
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        size += sum(len(text[k]) for k in order[a:b].tolist())
+        if size < FIND_BYTES and b < len(order):
+            continue
+        mine = order[start:b]
         distinct: dict = {}
-        of = np.fromiter((distinct.setdefault((f, c, x), len(distinct)) for f, c, x in zip(fp.tolist(), center.tolist(), text)), np.int64, len(text))
-        count = np.bincount(of, n).astype(np.int64)
+        of = np.fromiter((distinct.setdefault((f, text[k]), len(distinct)) for k, f in zip(mine.tolist(), fp[mine].tolist())), np.int64, len(mine))
+        count = np.bincount(of, n[mine]).astype(np.int64)
         low = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(low, of, least)
-        spans = finder(Pieces([x for _, _, x in distinct], np.array([f for f, _, _ in distinct], np.int64).view(np.uint64), np.array([c for _, c, _ in distinct], np.int64), low, count))
-        keep = [k for k in range(len(text)) if spans[of[k]]]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("d", pa.int64())]))
-        for i in range(0, len(keep), 5000):
-            part = keep[i : i + 5000]
-            cols = [_column(t, c).take(pa.array(part)) for c in ("_fp", "_rep_id", "_rep_h", "_rep_at")]
-            marks = pa.array([[{"a": a, "b": b, "d": d} for a, b, d in spans[of[k]]] for k in part], kind)
-            yield pa.RecordBatch.from_arrays([*cols, marks], names=["_fp", "_rep_id", "_rep_h", "_rep_at", "_marks"])
-
-    found = places.repartition(parts, "_fp").mapInArrow(run, "_fp bigint, _rep_id bigint, _rep_h bigint, _rep_at bigint, _marks array<struct<a:int,b:int,d:bigint>>")
-    back = placed.drop("_piece", "_c").join(found, ["_fp", "_rep_id", "_rep_h", "_rep_at"])
-    spans = F.transform("_marks", lambda m: F.struct((F.col("_at") + m["a"]).alias("a"), (F.col("_at") + m["b"]).alias("b"), m["d"].alias("d")))
-    return back.select("_id", "_h", spans.alias("_spans")).groupBy("_id", "_h").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+        np.minimum.at(low, of, least[mine])
+        spans = finder(Pieces([x for _, x in distinct], np.array([f for f, _ in distinct], np.uint64), low, count))
+        for k, o in zip(mine.tolist(), of.tolist()):
+            if spans[o]:
+                answer.setdefault(int(chunk[k]), []).append((int(rep[k]), spans[o]))
+        start, size = b, 0
+    for c, got in answer.items():
+        yield chunks[c], _pack(pa.RecordBatch.from_arrays([pa.array(np.repeat([r for r, _ in got], [len(x) for _, x in got]).astype(np.int32)), *(pa.array([v[f] for _, x in got for v in x], kind) for f, kind in enumerate((pa.int32(), pa.int32(), pa.int64())))], names=["rep", "a", "b", "d"]))
+
+
+def resolve(packed: DataFrame, finder: Finder, parts: int) -> DataFrame:
+    """_cid and _spans: the finder's (a, b, d) at their places in each text."""
+
+    def find(batches):
+        chunks, tables = [], []
+        for batch in batches:
+            for c, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                chunks.append(c)
+                tables.append(_unpack(blob))
+        if tables:
+            got = list(_found(chunks, tables, finder))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.string()), pa.array([x for _, x in got], pa.binary())], names=["_chunk", "_answer"])
+
+    def place(batches):
+        for batch in batches:
+            for blob, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t, m = pa.concat_tables([_unpack(x) for x in answers]), _unpack(blob)
+                rep, a, b, d = (_np(t, c) for c in ("rep", "a", "b", "d"))
+                order = np.argsort(rep, kind="stable")
+                rep, a, b, d = rep[order], a[order], b[order], d[order]
+                where, cid, at = (_np(m, c) for c in ("rep", "cid", "at"))
+                lo, hi = np.searchsorted(rep, where, "left"), np.searchsorted(rep, where, "right")
+                times = hi - lo
+                index = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                owner, shift = np.repeat(cid, times), np.repeat(at, times)
+                order = np.argsort(owner, kind="stable")
+                index, owner, shift = index[order], owner[order], shift[order]
+                marks = pa.StructArray.from_arrays([pa.array((a[index] + shift).astype(np.int32)), pa.array((b[index] + shift).astype(np.int32)), pa.array(d[index])], names=["a", "b", "d"])
+                ids, lists = _lists(owner, marks)
+                for i in range(0, len(ids), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), lists.slice(i, 500)], names=["_cid", "_spans"])
+
+    found = packed.where("_bucket >= 0").repartition(parts, "_bucket").mapInArrow(find, "_chunk string, _answer binary")
+    answers = found.groupBy("_chunk").agg(F.collect_list("_answer").alias("_answers"))
+    both = packed.where("_bucket < 0").join(answers, "_chunk").select("_blob", "_answers")
+    return both.mapInArrow(place, "_cid bigint, _spans array<struct<a:int,b:int,d:bigint>>").dropDuplicates(["_cid"])
 
 
 def repeated_spans(docs: DataFrame, spec: Spec, finder: Finder) -> DataFrame:
-    """``docs`` (see :func:`identity`) with _spans; null where nothing repeats."""
-    placed = staged(pieces(docs, shared_minimizers(docs, spec), spec), "pieces")
-    return docs.join(resolve(placed, finder), ["_id", "_h"], "left")
+    """``docs`` (with the columns of :func:`identity`) and _least, _n and, for the row of _least, _spans (null if none)."""
+    parts = width(docs.sparkSession)
+    kinds = classes(docs.select("_cid", "_id"))
+    shared = shared_minimizers(docs, spec).join(kinds, "_cid")
+    asked = docs.select("_cid", "_id", "_text").join(shared.withColumnRenamed("_least", "_id").hint("shuffle_hash"), ["_cid", "_id"])
+    packed = staged(pieces(asked.withColumnRenamed("_id", "_least"), spec, parts), "pieces")
+    marks = staged(resolve(packed, finder, parts), "marks")
+    # copies of a text take its class without the text; the text itself moves by its own row
+    per_row = docs.select("_cid", "_id").distinct().join(kinds, "_cid").join(marks, "_cid", "left")
+    per_row = per_row.select("_cid", "_id", "_least", "_n", F.when(F.col("_id") == F.col("_least"), F.col("_spans")).alias("_spans"))
+    return docs.join(per_row.hint("shuffle_hash"), ["_cid", "_id"])

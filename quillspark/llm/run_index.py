@@ -35,24 +35,35 @@ def spec(length: int) -> Spec:
     return Spec("bytes", length, max(1, length * 3 // 8), False)
 
 
-def _ranks(text: np.ndarray, length: int) -> dict[int, np.ndarray]:
-    """width -> rank of each suffix by its first ``width`` bytes, for powers of two and ``length``."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key, stable order of the keys)."""
+    order = np.argsort(key, kind="stable")
+    have = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[False], have[1:] != have[:-1]]))
+    return rank, order
+
+
+def _ranks(text: np.ndarray, length: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """width -> rank of each suffix by its first ``width`` bytes, for powers of two and ``length``; the last order."""
     n = len(text)
-    padded = np.concatenate([text, np.full(length + 8, _END, np.uint8)])
+    padded = np.concatenate([text, np.full(8, _END, np.uint8)])
     size = 1
     while size * 2 <= min(length, 8):
         size *= 2
-    key = np.zeros(n + length, np.uint64)
+    key = np.zeros(n, np.uint64)
     for j in range(size):
-        key = (key << np.uint64(8)) | padded[j : j + n + length]
-    out = {size: np.unique(key, return_inverse=True)[1].astype(np.uint64)}
+        key = (key << np.uint64(8)) | padded[j : j + n]
+    rank, order = _ranked(key)
+    out = {size: rank}
     while size < length:
         step = size if size * 2 <= length else length - size
-        have = out[size]
-        ahead = np.concatenate([have[step:], np.full(step, have[-1])])
+        # past the end: a rank of its own, above all others
+        ahead = np.concatenate([rank[step:], np.full(min(step, n), n, np.uint64)])
         size += step
-        out[size] = np.unique((have << np.uint64(32)) | ahead, return_inverse=True)[1].astype(np.uint64)
-    return {w: r[:n] for w, r in out.items()}
+        rank, order = _ranked((rank << np.uint64(32)) | ahead)
+        out[size] = rank
+    return out, order
 
 
 @dataclass
@@ -67,15 +78,15 @@ class RunIndex:
     before: np.ndarray  # rows with the run's byte in earlier runs of that byte, plus smaller bytes' rows
     by_byte: np.ndarray  # runs ordered by byte, then row
     byte_start: np.ndarray  # where each byte's runs begin in by_byte
-    group_heads: np.ndarray  # first row of each group of equal suffixes
-    group_at: np.ndarray  # its text position
+    run: np.ndarray  # directory: the run of each row
+    group: np.ndarray  # directory: the group of equal suffixes of each row
+    group_at: np.ndarray  # text position of each group's first row
     ranks: dict
     text: np.ndarray
 
     @classmethod
     def build(cls, text: np.ndarray, length: int) -> RunIndex:
-        ranks = _ranks(text, length)
-        order = np.argsort(ranks[length], kind="stable")
+        ranks, order = _ranks(text, length)
         sorted_rank = ranks[length][order]
         bwt = text[order - 1]  # row of position 0 takes the last byte, an end mark
         change = np.concatenate([[True], bwt[1:] != bwt[:-1]])
@@ -87,10 +98,7 @@ class RunIndex:
         before = np.empty(len(heads), np.int64)
         before[by_byte] = np.concatenate([[0], np.cumsum(size)[:-1]])
         new = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-        return cls(len(text), heads, byte, order[heads], order[ends - 1], before, by_byte, np.searchsorted(byte[by_byte], np.arange(257)), new, order[new], ranks, text)
-
-    def run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.heads, row, "right") - 1
+        return cls(len(text), heads, byte, order[heads], order[ends - 1], before, by_byte, np.searchsorted(byte[by_byte], np.arange(257)), np.cumsum(change) - 1, sorted_rank.astype(np.int64), order[new], ranks, text)
 
     def lcp(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes at two text positions, up to the index's length."""
@@ -110,6 +118,8 @@ class RunIndex:
     def stream(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, length: int):
         """Matching statistics of text[start:end) for many spans at once, from their ends: yields (spans, position, lengths, rows)."""
         order = np.argsort(-(end - start), kind="stable")
+        keys = (self.byte[self.by_byte].astype(np.int64) << 40) | self.by_byte
+        ends = np.append(self.heads[1:], self.n)
         live, at = order, end[order].copy()
         row = np.zeros(len(order), np.int64)
         size = np.zeros(len(order), np.int64)
@@ -121,13 +131,12 @@ class RunIndex:
                     return
             at = at - 1
             c = text[at]
-            run = self.run_of(row)
+            run = self.run[row]
             miss = np.flatnonzero(self.byte[run] != c)
             if len(miss):
                 lo, hi = self.byte_start[c[miss]], self.byte_start[c[miss].astype(np.int64) + 1]
                 # runs of the byte around the row
-                key = self._run_key(c[miss], run[miss])
-                nxt = np.searchsorted(self._keys(), key)
+                nxt = np.searchsorted(keys, (c[miss].astype(np.int64) << 40) | run[miss])
                 has_next, has_prev = nxt < hi, nxt > lo
                 next_run = self.by_byte[np.minimum(nxt, len(self.by_byte) - 1)]
                 prev_run = self.by_byte[np.maximum(nxt - 1, 0)]
@@ -136,25 +145,25 @@ class RunIndex:
                 prev_lcp = np.where(has_prev, self.lcp(tail, self.last_at[prev_run]), -1)
                 up = prev_lcp > next_lcp
                 run[miss] = np.where(up, prev_run, next_run)
-                ends = np.append(self.heads[1:], self.n)
                 row[miss] = np.where(up, ends[prev_run] - 1, self.heads[next_run])
                 size[miss] = np.minimum(size[miss], np.maximum(prev_lcp, next_lcp))
             row = self.before[run] + row - self.heads[run]
             size = np.minimum(size + 1, length)
             yield live, at, size, row
 
-    def _run_key(self, byte: np.ndarray, run: np.ndarray) -> np.ndarray:
-        return (byte.astype(np.int64) << 40) | run
-
-    def _keys(self) -> np.ndarray:
-        if not hasattr(self, "_run_keys"):
-            self._run_keys = self._run_key(self.byte[self.by_byte], self.by_byte)
-        return self._run_keys
-
 
 def finder(s: Spec) -> Finder:
     def find(p: Pieces) -> list:
-        by_doc = np.argsort(p.least, kind="stable")  # equal suffixes are then ordered by document
+        out: list = [[] for _ in p.text]
+        # a minimizer with one piece left is no index to search: its copies have each other
+        _, back, times = np.unique(p.fp, return_inverse=True, return_counts=True)
+        alone = times[back] == 1
+        for k in np.flatnonzero(alone & (p.count > 1)).tolist():
+            out[k].append((0, len(p.text[k]), int(p.least[k])))
+        several = np.flatnonzero(~alone)
+        if not len(several):
+            return out
+        by_doc = several[np.argsort(p.least[several], kind="stable")]  # equal suffixes are then ordered by document
         mark = bytes([_END])
         text = np.frombuffer(mark.join(p.text[k] for k in by_doc.tolist()) + mark, np.uint8)
         sizes = np.array([len(p.text[k]) for k in by_doc.tolist()], np.int64)
@@ -168,8 +177,7 @@ def finder(s: Spec) -> Finder:
             if len(full):
                 got_span.append(live[full])
                 got_at.append(at[full])
-                got_low.append(group_low[np.searchsorted(index.group_heads, row[full], "right") - 1])
-        out: list = [[] for _ in p.text]
+                got_low.append(group_low[index.group[row[full]]])
         if not got_span:
             return out
         span, at, least = np.concatenate(got_span), np.concatenate(got_at), np.concatenate(got_low)
@@ -190,14 +198,15 @@ def finder(s: Spec) -> Finder:
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Identity columns and _spans (a, b, d): bytes that document d, if smaller, also has."""
+    """``docs`` with identity columns, _least (smallest id with its text) and _spans (a, b, d): bytes that document d has too."""
     s = spec(length)
     return repeated_spans(identity(docs), s, finder(s))
 
 
-def _gone(b: pa.RecordBatch, i: int, j: int, at: np.ndarray, n: int, ids: str = "_id", spans: str = "_spans") -> np.ndarray:
-    own = b.column(b.schema.get_field_index(ids)).slice(i, j - i).to_numpy(zero_copy_only=False)
-    return _marks(b.column(b.schema.get_field_index(spans)).slice(i, j - i), at, n, lambda row, d: d < own[row])
+def _gone(ids: np.ndarray, least: np.ndarray, spans: pa.Array, at: np.ndarray, length: int) -> np.ndarray:
+    """Bytes to remove: the spans that a smaller document has; all of a text that a smaller document has as a whole."""
+    gone = _marks(spans, at, int(at[-1]), lambda row, d: d < ids[row])
+    return gone | np.repeat((least < ids) & (np.diff(at) >= length), np.diff(at))
 
 
 def query(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -206,10 +215,11 @@ def query(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            ids, least = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 4))
             data, offsets = K.buffers(b.column(2))
             for i, j in K.slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                gone = _gone(b, i, j, at, len(part))
+                gone = _gone(ids[i:j], least[i:j], b.column(3).slice(i, j - i), at, length)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 begins = gone & ~np.concatenate([[False], gone[:-1]]) if len(gone) else gone
                 heads = at[:-1][at[:-1] < len(gone)]
@@ -220,7 +230,7 @@ def query(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sha = [hashlib.sha256(keep[x:y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(runs[at])), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(docs, length).select("doc_id", "_id", "_text", "_spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return removed(docs, length).select("doc_id", "_id", "_text", "_spans", "_least").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -230,25 +240,24 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     tune(docs.sparkSession)
     columns = docs.columns
-    marked = removed(docs, length).where(F.col("_spans").isNotNull()).groupBy("_id", "_h").agg(F.first("_spans").alias("_spans"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "_h": F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint")})
-    both = keyed.join(marked, ["_id", "_h"], "left").select(*columns, "_id", "_spans")
-    text_at = columns.index("text")
+    rest = F.struct(*(F.col(f"`{c}`") for c in columns if c != "text"))
+    keyed = identity(docs.select("doc_id", "text", rest.alias("_rest"), F.col("text").isNull().alias("_null")), "_rest", "_null")
+    s = spec(length)
+    both = repeated_spans(keyed, s, finder(s)).select("_id", "_text", "_spans", "_least", "_rest", "_null")
 
     def run(batches):
         for b in batches:
-            data, offsets = K.buffers(b.column(text_at))
-            null = b.column(text_at).is_null().to_numpy(zero_copy_only=False)
+            ids, least = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+            data, offsets = K.buffers(b.column(1))
             texts: list = []
             for i, j in K.slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                gone = _gone(b, i, j, at, len(part))
+                gone = _gone(ids[i:j], least[i:j], b.column(2).slice(i, j - i), at, length)
                 keep = part[~gone].tobytes()
-                total = np.concatenate([[0], np.cumsum(gone)])
-                cut = (at - total[at]).tolist()
+                cut = (at - np.concatenate([[0], np.cumsum(gone)])[at]).tolist()
                 texts += [keep[x:y].decode("utf-8", "ignore") for x, y in zip(cut[:-1], cut[1:])]
-            cols = list(b.columns[: len(columns)])
-            cols[text_at] = pa.array([None if z else t for t, z in zip(texts, null.tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            null = b.column(5).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(4), pa.array([None if z else t for t, z in zip(texts, null)], pa.string())], names=["_rest", "text"])
 
-    return both.mapInArrow(run, T.StructType([f for f in docs.schema.fields]))
+    out = both.mapInArrow(run, T.StructType([both.schema["_rest"], T.StructField("text", T.StringType())]))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_rest.`{c}`") for c in columns))
