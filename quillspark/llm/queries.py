@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, bpe_pieces, decontamination, metric_join, quality_gam, quality_rules, run_index
+from . import block_anchors, bpe_pieces, decontamination, legacy_archive, license_scan, metric_join, quality_gam, quality_rules, run_index, site_style
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.query(table(spark, sf_dir, "pages"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op8_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legacy_archive.query(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.query(table(spark, sf_dir, "documents"))
 
@@ -37,6 +49,34 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op9_substring_dedup, op10_piece_encoding)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_legacy_archives, op9_substring_dedup, op10_piece_encoding)}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op7_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, generate_subscripts(w, 1) AS i, w FROM d WHERE len(w) >= 3),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM win WHERE i <= len(w) - 2),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, (VALUES (0), (1), (2)) AS t(k) WHERE c > 1 GROUP BY 1),
+li AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, line, count(*) AS c FROM li WHERE regexp_matches(line, '{_WORD}') GROUP BY 1, 2),
+dup AS (SELECT doc_id, sum(c) AS n_lines, sum(c - 1) AS n FROM lines GROUP BY 1),
+m AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    coalesce(dup.n_lines, 0) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '[A-Za-z]')) AS n_alpha
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+b AS (
+  SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+    + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 25 * n_words)::INT
+    + 64 * (n_alpha >= 50 AND 100 * n_upper > 70 * n_alpha)::INT AS failed_bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits FROM b""",
+    "op8_legacy_archives": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < p.page_id THEN f.first END AS refers_to FROM p LEFT JOIN f USING (digest)""",
+}
