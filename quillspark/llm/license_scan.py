@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to licence templates, then inheritance from directories.
 
 DataFrame functions only. A file's units are its lines (headers) and, for licence files, also the whole text.
-Terms are weighted by tf * idf over the templates (a term of no template counts as rarer than all);
+Terms, function words apart, are weighted by tf * idf over the templates (a term of no template counts as rarer than all);
 a unit has the licence of the template with the largest cosine, if that is at least THRESHOLD. A file without a licence of its
 own inherits that of the nearest directory above it (its own included) that holds a licensed licence file; of
 several in one directory, the one with the largest cosine, then the first path, counts.
@@ -44,13 +44,13 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal public domain dedication."),
 ]
 
-# English function words; as anchors they would let most lines through.
-_COMMON = frozenset("a all and any are as at be by can for from has in is it may not of on or that the this to under use with without your you".split())
+# English function words. They have no weight.
+FUNCTION_WORDS = tuple("a all and any are as at be by can for from has in is it may not of on or that the this to under use with without your you".split())
 
 
 def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[dict[str, float]]]:
     """idf of each term of the templates, and each template's unit-length weights."""
-    counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+    counts = [Counter(t for t in re.findall(TERM, text.lower()) if t not in FUNCTION_WORDS) for _, text in templates]
     frequency = Counter(t for c in counts for t in c)
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + f)) + 1 for t, f in frequency.items()}
@@ -63,11 +63,11 @@ def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, flo
 
 
 def anchors(vectors: list[dict[str, float]], idf: dict[str, float], threshold: float = THRESHOLD) -> list[str]:
-    """Terms without which every template weighs less than the threshold; function words last, then rare ones first."""
+    """Terms without which every template weighs less than the threshold; rare and long ones first."""
     chosen: set[str] = set()
     for v in vectors:
         rest = sum(x * x for t, x in v.items() if t not in chosen)
-        for t in sorted(v, key=lambda t: (t in _COMMON, -idf[t], -len(t), t)):
+        for t in sorted(v, key=lambda t: (-idf[t], -len(t), t)):
             if rest < threshold**2 * 0.999:
                 break
             if t not in chosen:
@@ -85,7 +85,7 @@ def detected(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
     near = files.select("_file", "path", text.alias("text")).where(F.col("text").rlike(pattern))
     lines = near.select("_file", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(F.col("text").rlike(pattern))
     whole = near.where(F.col("path").rlike(LICENSE_NAME)).select("_file", F.lit(-1).alias("unit"), "text")
-    terms = lines.unionByName(whole).select("_file", "unit", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term"))
+    terms = lines.unionByName(whole).select("_file", "unit", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*FUNCTION_WORDS))
     terms = terms.groupBy("_file", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     rare = math.log(1 + len(templates)) + 1
     rows = [(t, float(idf[t]), [(k, float(v[t])) for k, v in enumerate(vectors) if t in v]) for t in sorted(idf)]
@@ -148,10 +148,11 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB SQL, from the templates' texts, over all lines."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    stop = ", ".join(quote(w) for w in FUNCTION_WORDS)
     values = ", ".join(f"({k}, {quote(a)}, {quote(b)})" for k, (a, b) in enumerate(TEMPLATES))
     return f"""
 WITH templates(k, license, text) AS (VALUES {values}),
-tterms AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM templates) GROUP BY 1, 2),
+tterms AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM templates) WHERE term NOT IN ({stop}) GROUP BY 1, 2),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM tterms GROUP BY 1),
 tw AS (SELECT k, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY k)) AS w FROM tterms JOIN idf USING (term)),
 files AS (
@@ -160,7 +161,7 @@ files AS (
 units AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS unit, unnest(string_split(text, chr(10))) AS text FROM files
   UNION ALL SELECT doc_id, -1, text FROM files WHERE doc_id % 64 = 0),
-terms AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM units) GROUP BY 1, 2, 3),
+terms AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM units) WHERE term NOT IN ({stop}) GROUP BY 1, 2, 3),
 v AS (SELECT doc_id, unit, t.term, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM templates)) + 1) AS v FROM terms t LEFT JOIN idf USING (term)),
 norm AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1, 2),
 dots AS (SELECT v.doc_id, v.unit, tw.k, sum(v.v * tw.w) AS dot FROM v JOIN tw USING (term) GROUP BY 1, 2, 3),

@@ -15,7 +15,7 @@ def brute(files):
         units = (text or "").lower().split("\n") + ([(text or "").lower()] if path and re.search(L.LICENSE_NAME, path) else [])
         best = None
         for u in units:
-            c = Counter(re.findall(L.TERM, u))
+            c = Counter(t for t in re.findall(L.TERM, u) if t not in L.FUNCTION_WORDS)
             w = {t: n * idf.get(t, rare) for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
             for k, v in enumerate(vectors):
