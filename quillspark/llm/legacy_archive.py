@@ -159,7 +159,7 @@ def _files(parts, start: bytes, gap: bytes):
 
 def _write(files: DataFrame, path: str, gap: str) -> None:
     """One file for each row."""
-    files.select(F.col("_file").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", gap).option("maxRecordsPerFile", 1).text(path)
+    files.select(F.col("_file").cast("string").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", gap).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
@@ -210,29 +210,49 @@ def read_arc(spark, path: str) -> DataFrame:
     return _binary(spark, path).mapInArrow(run, _RECORD)
 
 
-def convert(records: DataFrame, path: str) -> None:
-    """Write ARC records (see :func:`read_arc`) as WARC files."""
-    spark = records.sparkSession
-    keys = records.where(F.col("n") >= REVISIT_BYTES).select("digest", "page_id", "url", "date")
+def convert(spark, arc: str, warc: str) -> None:
+    """Write the ARC files of one folder as WARC files to another.
+
+    What refers to what is settled on digests alone and goes back to each ARC file, which is then read once more:
+    payloads move only as their file's compressed bytes.
+    """
+
+    def digests(batches):
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = []
+                for url, date, _, block in parse_arc(raw.as_py()):
+                    headers, _, body = split_http(block)
+                    page = headers.get("x-page-id")
+                    if len(body) >= REVISIT_BYTES:
+                        rows.append((path, int(page) if page else None, url, date, hashlib.sha256(body).hexdigest()))
+                cols = list(zip(*rows)) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["path", "page_id", "url", "date", "digest"])
+
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc).select("path", "content")
+    keys = files.mapInArrow(digests, "path string, page_id bigint, url string, date string, digest string")
     first = keys.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url", "date")).alias("f"))
-    first = first.select("digest", F.col("f.page_id").alias("f_page"), F.col("f.url").alias("f_url"), F.col("f.date").alias("f_date"))
-    # what refers to what, without the payloads; the payloads then move by their own page
-    again = keys.distinct().join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("f_page")))
-    again = again.select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("date").alias("_t"), "f_page", "f_url", "f_date")
-    same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")) & (F.col("url") == F.col("_u")) & (F.col("date") == F.col("_t"))
-    both = records.join(again, same, "left").select("page_id", "url", "date", "head", "body", "digest", F.col("_d").isNotNull().alias("again"), "f_page", "f_url", "f_date")
+    again = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("f.page_id")))
+    per_file = again.groupBy("path").agg(F.collect_set(F.struct("page_id", "digest", F.col("f.page_id").alias("f_page"), F.col("f.url").alias("f_url"), F.col("f.date").alias("f_date"))).alias("_again"))
 
     def run(batches):
         for b in batches:
-            def rows():
-                for page, url, date, head, body, digest, again, f_page, f_url, f_date in zip(*(b.column(k).to_pylist() for k in range(10))):
-                    yield warc_record(url, date, page, digest, head, body, record_id(f_page, f_url, f_date, digest) if again else None)
+            for raw, again in zip(b.column(0), b.column(1).to_pylist()):
+                refers = {(x["page_id"], x["digest"]): record_id(x["f_page"], x["f_url"], x["f_date"], x["digest"]) for x in again or ()}
 
-            for x in _files(rows(), b"", b"\r\n\r\n"):
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["_file"])
+                def rows(raw=raw, refers=refers):
+                    for url, date, _, block in parse_arc(raw.as_py()):
+                        headers, head, body = split_http(block)
+                        page = int(headers["x-page-id"]) if "x-page-id" in headers else None
+                        digest = hashlib.sha256(body).hexdigest()
+                        yield warc_record(url, date, page, digest, head, body, refers.get((page, digest)))
 
-    tune(spark)
-    _write(both.mapInArrow(run, "_file binary"), path, "\r\n\r\n")
+                for x in _files(rows(), b"", b"\r\n\r\n"):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["_file"])
+
+    _write(files.join(per_file, "path", "left").select("content", "_again").mapInArrow(run, "_file binary"), warc, "\r\n\r\n")
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -265,7 +285,7 @@ def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc)
-    convert(read_arc(spark, arc), warc)
+    convert(spark, arc, warc)
     got = read_warc(spark, warc)
     named = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_id"])
     return got.join(named, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

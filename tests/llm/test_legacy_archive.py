@@ -44,17 +44,17 @@ def test_arc_files_are_read_by_version_and_length(spark):
         list(A.parse_arc(A.version_block(1, "f") + b"\n" + A.arc_record(2, 1, "u", b"x", 0, "f")))
 
 
-def test_bytes_that_are_not_text_survive(spark):
+def test_bytes_that_are_not_text_survive(spark, tmp_path):
     body = bytes(range(256)) * 3
     block = A._http(body, 4)
-    raw = A.version_block(1, "f") + b"\nhttp://x 0.0.0.0 20010203040506 image/png " + str(len(block)).encode() + b"\n" + block
+    record = b"http://x 0.0.0.0 20010203040506 image/png " + str(len(block)).encode() + b"\n" + block
+    (tmp_path / "part-old.arc").write_bytes(A.version_block(1, "f") + b"\n" + record)
     path = fresh_path(spark, "warc")
-    url, date, _, block = next(A.parse_arc(raw))
-    _, head, payload = A.split_http(block)
-    records = spark.createDataFrame([(4, url, date, bytearray(head), bytearray(payload), len(payload), hashlib.sha256(payload).hexdigest())], A._RECORD)
-    A.convert(records, path)
+    A.convert(spark, f"file://{tmp_path}", path)
     (got,) = A.read_warc(spark, path).collect()
     assert got.payload_digest == hashlib.sha256(body).hexdigest() and got.payload_bytes == 768
+    (old,) = A.read_arc(spark, f"file://{tmp_path}").collect()
+    assert bytes(old.body) == body and old.page_id == 4 and old.date == "20010203040506"
     file = next(r.content for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
     (headers, _), = A.parse_warc(bytes(file))
     assert headers["warc-date"] == "2001-02-03T04:05:06Z" and headers["warc-target-uri"] == "http://x" and headers["warc-record-id"].startswith("<urn:uuid:")
