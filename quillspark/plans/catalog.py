@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
 from quillspark.operators import decide, discover, graph, keys, reconcile, triage
+from quillspark.shipping import ship
 from quillspark.sources import files, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,11 @@ def query(sql: str | None = None):
     """Registers a function of Tables under its own name."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
