@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.shipping import ship
+
 #: Arrow batches stay this small, so a worker holds a few MB of text at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once an application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="quillspark-code-")) / "quillspark.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(archive))
-
-
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches handed to Python workers, which get this package's code."""
     ship(spark)
@@ -39,6 +27,21 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidied(run: Callable) -> Callable:
+    """A batch function that returns its worker's free memory when it ends: workers are reused by later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; one of our own only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,10 +56,42 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages no longer depend on its lineage."""
-    path = fresh_path(df.sparkSession, tag)
+    """Write ``df`` to the shared folder and read it back: later stages no longer depend on its lineage.
+
+    The shuffle files behind it are then of no use; collecting the driver's garbage lets Spark delete them now.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    _left.append((spark.sparkContext.applicationId, path))
+    return out
+
+
+_left: list[tuple[str, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unstage(*dfs: DataFrame) -> None:
+    """Delete what :func:`staged` wrote for these, when nothing reads it any more."""
+    for df in dfs:
+        _delete(df.sparkSession, df._staged)
+        _left.remove((df.sparkSession.sparkContext.applicationId, df._staged))
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that is still staged: for a caller whose earlier results are written elsewhere by now."""
+    for app, path in _left:
+        if app == spark.sparkContext.applicationId:
+            _delete(spark, path)
+    _left.clear()
 
 
 def width(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = hung.join(least, "a").where("b <> low").select(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b"))
         new = staged(new.union(least.select("a", F.col("low").alias("b"))).distinct(), "links")
         state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.hash("b", "a").cast("bigint"))).first()
-        done, links = state(new) == state(links), new
+        done = state(new) == state(links)
+        unstage(links)
+        links = new
         if done:
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

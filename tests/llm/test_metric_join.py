@@ -58,13 +58,35 @@ def test_matches_brute_force(spark, seed, k, percent):
     assert sorted(tuple(r) for r in M.groups(docs, k, percent).collect()) == brute(rows, k, percent)
 
 
-def test_pairwise_rest_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(M, "ROUNDS", 1)
+def test_cells_alone_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 1)
     rows = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in M.groups(docs, 4, 85).collect()) == brute(rows, 4, 85)
 
 
+def test_split_cells_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 1)
+    monkeypatch.setattr(M, "CELL", 10)
+    rows = corpus(10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in M.groups(docs, 2, 70).collect()) == brute(rows, 2, 70)
+
+
+def test_recursive_join_of_a_cell():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 60, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[: rnd.integers(35, 60)], rnd.integers(0, 1 << 60, rnd.integers(1, 6), dtype=np.uint64)])) for _ in range(700)]
+    cell = M._Cell(sets, 80)
+    cell.join(np.arange(len(sets)), np.zeros(int(cell.code.max()) + 1, bool))
+    flat = M._Cell(sets, 80)
+    flat.leaf(np.arange(len(sets)))
+    assert [cell.root(i) for i in range(len(sets))] == [flat.root(i) for i in range(len(sets))]
+    assert 1 < len({cell.root(i) for i in range(len(sets))}) < len(sets)
+
+
 def test_frequent_shingles_change_nothing(spark, monkeypatch):
     rows = corpus(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
