@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as K
-from .common import tune
+from .common import tidied, tune
 from .repeats import Finder, Pieces, Spec, identity, repeated_spans
 
 WINDOW = 35
@@ -108,4 +108,4 @@ def query(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n_gone = words.counts - np.diff(cut)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words.counts.astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return removed(docs, window).select("doc_id", "_text", "_spans", "_n").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return removed(docs, window).select("doc_id", "_text", "_spans", "_n").mapInArrow(tidied(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

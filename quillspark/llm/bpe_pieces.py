@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import tidied, tune
 
 MARK = "▁"
 _NONE = -1
 #: Runs kept between batches of one worker, and the longest run that is kept or encoded in step.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 200_000
 LONG_RUN = 64
 
 
@@ -261,11 +261,17 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(model_file: str) -> Pieces:
+    """The vocabulary of a file, kept until :func:`clear`."""
     if model_file not in _loaded:
         _loaded[model_file] = Pieces(model_file)
     return _loaded[model_file]
 
 
+def clear() -> None:
+    """Forget the vocabularies, so that an idle worker holds none."""
+    _loaded.clear()
+
+
 class _Runs(dict):
     """run -> (number of ids, decimal ids joined by commas, decoded bytes)."""
 
@@ -320,8 +326,10 @@ def digests(docs: DataFrame, model_file: str, verify: bool = True) -> DataFrame:
                     ids.append(hashlib.sha256(x.encode()).hexdigest())
                     text.append(hashlib.sha256(raw).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del cache
+        clear()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tidied(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model_file: str, verify: bool = True) -> DataFrame:
@@ -335,7 +343,7 @@ def encode(docs: DataFrame, model_file: str, verify: bool = True) -> DataFrame:
                 ids = [[int(i) for i in x.split(",")] if x else [] for _, x, _ in _rows(model_file, texts, cache, verify)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -347,4 +355,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [vocab.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id bigint, text string")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.shipping import ship
 
+from . import textkernel
+
 #: Arrow batches stay this small, so a worker holds a few MB of text at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -34,6 +36,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            textkernel.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # where the C library has it

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import tune
+from .common import tidied, tune
 
 Q, WINDOW, EDITS, BAND = 12, 160, 0.06, 16
 BLOCK_BYTES = 2 << 20
@@ -188,7 +188,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if len(row):
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array([x.items[k] for k in x.item[window].tolist()], pa.int64()), pa.array(window.astype(np.int32)), pa.array(edits.astype(np.int32)), pa.array(start.astype(np.int64))], names=["doc_id", "item_id", "window", "edits", "start"])
 
-        part = docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+        part = docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(tidied(run), schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -212,5 +212,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[row] = False
                     yield b.slice(i, j - i).filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidied(run), docs.schema)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import tune
+from .common import tidied, tune
 from .quality_rules import measure_rows
 
 FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "upper", "alpha", "digits", "points", "distinct", "line_words")
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["_id", "_y", *FEATURES])
 
-    got = rows.mapInArrow(run, "_id bigint, _y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values("_id", kind="stable")
+    got = rows.mapInArrow(tidied(run), "_id bigint, _y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values("_id", kind="stable")
     return fit(got[list(FEATURES)].to_numpy(np.float64), got["_y"].to_numpy(np.float64))
 
 
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 s = model.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tidied(run), "doc_id bigint, score double")
 
 
 def query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import tune
+from .common import tidied, tune
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha")
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -117,7 +117,7 @@ def _measured(src: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(part[m].astype(np.int64)) for m in MEASURES)], names=[*own.schema.names, *(f"_q_{m}" for m in MEASURES)])
 
     schema = T.StructType([*src.schema.fields, *(T.StructField(f"_q_{m}", T.LongType()) for m in MEASURES)])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import staged, tune, width
+from .common import staged, tidied, tune, unstage, width
 
 #: Text of a chunk, in bytes.
 CHUNK_BYTES = 12 << 20
@@ -261,8 +261,8 @@ def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1000]), lists.slice(i, 1000)], names=["_cid", "_shared"])
 
     packed = "_bucket bigint, _blob binary"
-    found = docs.select("_cid", "_text").mapInArrow(ask, packed).repartition(parts, "_bucket").mapInArrow(settle, packed)
-    return found.repartition(parts, "_bucket").mapInArrow(gather, "_cid bigint, _shared array<bigint>")
+    found = docs.select("_cid", "_text").mapInArrow(tidied(ask), packed).repartition(parts, "_bucket").mapInArrow(tidied(settle), packed)
+    return found.repartition(parts, "_bucket").mapInArrow(tidied(gather), "_cid bigint, _shared array<bigint>")
 
 
 def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
@@ -281,7 +281,7 @@ def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
             data, offsets = K.buffers(_column(t, "_text"))
             cols: list = [[], [], [], [], []]
             texts: list = []
-            for i, j in K.slices(offsets, 1 << 20):
+            for i, j in K.slices(offsets):
                 x = Items(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, fp = x.minimizers()
                 row = x.row_of(at)
@@ -318,7 +318,7 @@ def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
                 out.append((int(bucket[k[0]]), _pack(pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(fp[head[k]]), pa.array(low[k]), pa.array(count[k]), pa.array([texts[q] for q in head[k].tolist()], pa.binary())], names=["rep", "fp", "least", "n", "text"]))))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([chunk] * len(out)), pa.array([x for _, x in out], pa.binary())], names=["_bucket", "_chunk", "_blob"])
 
-    return texts.select("_cid", "_least", "_n", "_text", "_shared").mapInArrow(run, "_bucket bigint, _chunk string, _blob binary")
+    return texts.select("_cid", "_least", "_n", "_text", "_shared").mapInArrow(tidied(run), "_bucket bigint, _chunk string, _blob binary")
 
 
 @dataclass
@@ -396,10 +396,10 @@ def resolve(packed: DataFrame, finder: Finder, parts: int) -> DataFrame:
                 for i in range(0, len(ids), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), lists.slice(i, 500)], names=["_cid", "_spans"])
 
-    found = packed.where("_bucket >= 0").repartition(parts, "_bucket").mapInArrow(find, "_chunk string, _answer binary")
+    found = packed.where("_bucket >= 0").repartition(parts, "_bucket").mapInArrow(tidied(find), "_chunk string, _answer binary")
     answers = found.groupBy("_chunk").agg(F.collect_list("_answer").alias("_answers"))
     both = packed.where("_bucket < 0").join(answers, "_chunk").select("_blob", "_answers")
-    return both.mapInArrow(place, "_cid bigint, _spans array<struct<a:int,b:int,d:bigint>>").dropDuplicates(["_cid"])
+    return both.mapInArrow(tidied(place), "_cid bigint, _spans array<struct<a:int,b:int,d:bigint>>").dropDuplicates(["_cid"])
 
 
 def repeated_spans(docs: DataFrame, spec: Spec, finder: Finder) -> DataFrame:
@@ -410,6 +410,7 @@ def repeated_spans(docs: DataFrame, spec: Spec, finder: Finder) -> DataFrame:
     asked = docs.select("_cid", "_id", "_text").join(shared.withColumnRenamed("_least", "_id").hint("shuffle_hash"), ["_cid", "_id"])
     packed = staged(pieces(asked.withColumnRenamed("_id", "_least"), spec, parts), "pieces")
     marks = staged(resolve(packed, finder, parts), "marks")
+    unstage(packed)
     # copies of a text take its class without the text; the text itself moves by its own row
     per_row = docs.select("_cid", "_id").distinct().join(kinds, "_cid").join(marks, "_cid", "left")
     per_row = per_row.select("_cid", "_id", "_least", "_n", F.when(F.col("_id") == F.col("_least"), F.col("_spans")).alias("_spans"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as K
 from .block_anchors import _marks
-from .common import tune
+from .common import tidied, tune
 from .repeats import Finder, Pieces, Spec, identity, repeated_spans
 
 LENGTH = 50
@@ -230,7 +230,7 @@ def query(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sha = [hashlib.sha256(keep[x:y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(runs[at])), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(docs, length).select("doc_id", "_id", "_text", "_spans", "_least").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return removed(docs, length).select("doc_id", "_id", "_text", "_spans", "_least").mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -259,5 +259,5 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             null = b.column(5).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(4), pa.array([None if z else t for t, z in zip(texts, null)], pa.string())], names=["_rest", "text"])
 
-    out = both.mapInArrow(run, T.StructType([both.schema["_rest"], T.StructField("text", T.StringType())]))
+    out = both.mapInArrow(tidied(run), T.StructType([both.schema["_rest"], T.StructField("text", T.StringType())]))
     return out.select(*(F.col("text") if c == "text" else F.col(f"_rest.`{c}`") for c in columns))

@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once (a longer single text is handled alone).
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at once (a longer single text is handled alone); with a little to spare, so that tables of powers fit.
+SLICE_BYTES = (1 << 20) - 64
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -37,6 +37,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def clear() -> None:
+    """Forget the kept powers."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(30))
     x *= _U(0xBF58476D1CE4E5B9)
