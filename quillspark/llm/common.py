@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -66,14 +67,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     _left.append((spark.sparkContext.applicationId, path))
     return out
 
 
+def collect_garbage(spark: SparkSession, wait: float = 0) -> None:
+    """Let Spark delete the shuffle files that no plan refers to; wait for its cleaner so many seconds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
+
+
 _left: list[tuple[str, str]] = []
 
 

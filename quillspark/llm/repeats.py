@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import staged, tidied, tune, unstage, width
+from .common import collect_garbage, staged, tidied, tune, unstage, width
 
 #: Text of a chunk, in bytes.
 CHUNK_BYTES = 12 << 20
@@ -409,6 +409,9 @@ def repeated_spans(docs: DataFrame, spec: Spec, finder: Finder) -> DataFrame:
     shared = shared_minimizers(docs, spec).join(kinds, "_cid")
     asked = docs.select("_cid", "_id", "_text").join(shared.withColumnRenamed("_least", "_id").hint("shuffle_hash"), ["_cid", "_id"])
     packed = staged(pieces(asked.withColumnRenamed("_id", "_least"), spec, parts), "pieces")
+    del shared, asked
+    for _ in range(2):  # the next step shuffles as much again
+        collect_garbage(docs.sparkSession, 1.5)
     marks = staged(resolve(packed, finder, parts), "marks")
     unstage(packed)
     # copies of a text take its class without the text; the text itself moves by its own row
