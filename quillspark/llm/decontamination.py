@@ -3,13 +3,13 @@
 Texts are lower-cased (A-Z) and runs of white space become one space. Each benchmark item is cut into
 windows of at most WINDOW bytes, half overlapping; a window of m bytes allows k = floor(EDITS * m) edits. A
 region of a document within k edits of a window shares at least m + 1 - q (k + 1) q-grams with it, on
-diagonals at most k apart. So shared q-grams are counted in overlapping bands of diagonals, bands that meet
+diagonals at most k apart. A verbatim passage of PASSAGE bytes, cut anywhere, holds a window. So shared q-grams are counted in overlapping bands of diagonals, bands that meet
 the bound are kept, and a banded alignment decides.
 
 The benchmark is handled in blocks of about BLOCK_BYTES, each sent to all documents.
 
 Defined results: null, empty and very short items (fewer than q bytes after normalising) match nothing; items
-shorter than a window match as a whole. Null texts match nothing. Rows that share a doc_id give joint rows.
+shorter than a window match as a whole. Verbatim passages shorter than PASSAGE are found where they hold a window. Null texts match nothing. Rows that share a doc_id give joint rows.
 A null item_id or doc_id is reported as null.
 """
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import tidied, tune
 
-Q, WINDOW, EDITS, BAND = 12, 160, 0.06, 16
+Q, WINDOW, EDITS, BAND = 7, 50, 0.1, 8
+#: A verbatim passage of an item of this many bytes always holds a whole window.
+PASSAGE = WINDOW + WINDOW // 2 - 1
 BLOCK_BYTES = 2 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

@@ -92,3 +92,18 @@ def test_filter_bound_is_the_lemma():
     index = D.Index.build([(1, "x" * 400), (2, "abcdefghijkl"), (3, "abc")])
     assert (index.needed == index.size + 1 - D.Q * (index.edits + 1)).all() and (index.needed >= 1).all()
     assert set(np.unique(index.item)) == {0, 1} and (index.edits <= D.BAND).all()
+
+
+def test_passages_cut_anywhere(spark):
+    """Verbatim passages at every offset of an item, held against plain string search, which knows no windows."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate((16, 22, 45, 90))]
+    docs = [(-k, prose(60)) for k in range(1, 21)]
+    for i, item in items:
+        docs += [(1000 * i + p, f"{prose(9)} {item[p : p + 76]} {prose(9)}") for p in range(len(item) - 75)]
+    want = {(d, i) for d, text in docs for i, item in items if any(item[p : p + 74] in text for p in range(len(item) - 73))}
+    x, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert want and {(r.doc_id, r.item_id) for r in D.pairs(x, b).collect()} == want
+    assert {r.doc_id for r in D.clean(x, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
