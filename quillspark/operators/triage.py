@@ -64,3 +64,18 @@ def worklist(rows: DataFrame) -> DataFrame:
     need = rows.where((T.or_empty(F.col("tier")) != "") & (F.col("tier") != "cut") & ~F.coalesce("have", F.lit(False))).withColumn("tier_rank", rank)
     year = F.coalesce(T.known(F.col("year")), F.lit("0"))
     return need.withColumn("number", F.row_number().over(Window.partitionBy("tier").orderBy(year, "author", "id")))
+
+
+def placed(rows: DataFrame, groups: list[Column], within: list[str | Column]) -> DataFrame:
+    """Every row with its ``place`` (from 1) in the order of ``groups``, then ``within``.
+
+    Rows are numbered within their group and moved on by the sizes of the groups before it: only the
+    groups' sizes pass through one task, not the rows.
+    """
+    x = rows.withColumn("_group", F.struct(*[g.alias(f"g{k}") for k, g in enumerate(groups)]))
+    before = F.sum("_size").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = x.groupBy(F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.select("_of", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_group").orderBy(*within))
+    out = x.withColumn("_number", number).join(sizes, F.col("_group").eqNullSafe(F.col("_of")))
+    return out.select(*rows.columns, (F.col("_before") + F.col("_number")).alias("place"))

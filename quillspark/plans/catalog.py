@@ -696,6 +696,20 @@ def o04_triage_order(t):
     return work(t).orderBy(*order).limit(50).select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
+@query(f"SELECT id, row_number() OVER (ORDER BY tier_rank, number) AS place FROM ({_NUMBERED})")
+def o07_worklist_places(t):
+    """The whole worklist, of which o05 is the first 50."""
+    year = F.coalesce(T.known(c("year")), lit("0"))
+    return triage.placed(triage.worklist(work(t)), [c("tier_rank"), year], ["author", "id"]).select("id", "place")
+
+
+@query(f"WITH {_WORK} SELECT id, row_number() OVER (ORDER BY CASE WHEN tier = '' THEN 0 ELSE 1 END, coalesce(try_cast(year AS INT), 0), author, id) AS place FROM w")
+def o08_triage_places(t):
+    """The whole triage table, of which o04 is the first 50."""
+    groups = [F.when(c("tier") == "", 0).otherwise(1), F.coalesce(F.expr("try_cast(year as int)"), lit(0))]
+    return triage.placed(work(t), groups, ["author", "id"]).select("id", "place")
+
+
 # ---------------------------------------------------------------- candidates, phrases, concepts, categories
 
 _HITS = """h AS (SELECT l_partkey AS doi, 'A' AS mode, l_orderkey AS seed, CASE WHEN l_linenumber % 2 = 0 THEN 'out' ELSE 'in' END AS direction FROM lineitem WHERE l_quantity > 40

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
 from quillspark.operators import decide, discover, graph, keys, reconcile, triage
+from quillspark.plans import catalog
 from quillspark.sources import files, landed
 
 c, lit = F.col, F.lit
@@ -198,6 +199,17 @@ def test_worklist(spark):
     assert [r.id for r in got] == ["2", "3", "7", "1"]
 
 
+def test_every_row_has_a_place(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5, f"a{i % 3}") for i in range(200)]
+    got = triage.placed(spark.createDataFrame(rows, "id int, year int, author string"), [c("year") > 2, c("year")], ["author", "id"])
+    order = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or 0) > 2, r[1] or 0, r[2], r[0]))
+    assert {r.id: r.place for r in got.collect()} == {r[0]: k for k, r in enumerate(order, 1)}
+    run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for name, source in (("o07_worklist_places", "p21_worklist"), ("o08_triage_places", "p08_proposed_tier")):
+        n = run(source).count()
+        assert n > 50 and sorted(r.place for r in run(name).collect()) == list(range(1, n + 1))
+
+
 def test_cascade(spark):
     none = F.array().cast("array<string>")
     assert tuple(one(spark, decide.first_references(jats=none, crossref=F.array(lit("x"))))) == (["x"], "crossref")
