@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are lower-cased (A-Z) and runs of white space become one space. Each benchmark item is cut into
+Texts are lower-cased (characters of one or two bytes) and runs of white space become one space. Each benchmark item is cut into
 windows of at most WINDOW bytes, half overlapping; a window of m bytes allows k = floor(EDITS * m) edits. A
 region of a document within k edits of a window shares at least m + 1 - q (k + 1) q-grams with it, on
 diagonals at most k apart. A verbatim passage of PASSAGE bytes, cut anywhere, holds a window. So shared q-grams are counted in overlapping bands of diagonals, bands that meet
@@ -34,11 +34,17 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 _OUTSIDE = 0xFF
+#: Small letters of the characters of two bytes (Latin, Greek, Cyrillic, Armenian), where those have two bytes as well.
+_FOLD_2 = np.array([ord(x) if len(x := chr(k).lower()) == 1 and 0x80 <= ord(x) < 0x800 else k for k in range(0x800)], np.int32)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes and their row offsets."""
     folded = _FOLD[data]
+    at = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    if len(at):
+        small = _FOLD_2[(data[at] & 31).astype(np.int32) << 6 | data[at + 1] & 63]
+        folded[at], folded[at + 1] = 0xC0 | small >> 6, 0x80 | small & 63
     blank = folded == 32
     again = blank & np.concatenate([[False], blank[:-1]]) if len(data) else blank
     heads = offsets[:-1][offsets[:-1] < len(data)]

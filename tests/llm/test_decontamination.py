@@ -107,3 +107,21 @@ def test_passages_cut_anywhere(spark):
     x, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert want and {(r.doc_id, r.item_id) for r in D.pairs(x, b).collect()} == want
     assert {r.doc_id for r in D.clean(x, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_edited_and_upper_cased_copies(spark):
+    """Whole items with every tenth word replaced, or in capitals of several scripts."""
+    rnd = random.Random(6)
+    prose = lambda n, of: " ".join("".join(rnd.choice(of) for _ in range(rnd.randrange(3, 9))) for _ in range(n))
+    items = [(i, prose(24, of)) for i, of in enumerate(["abcdefghijklmnop"] * 30 + ["aéñüçoøþ"] * 5 + ["αβγδοςω", "абвгжыя"])]
+    edited = [(i, " ".join("xyzzy" if k % 10 == i % 10 else w for k, w in enumerate(item.split()))) for i, item in items[:30]]
+    docs = [(i, f"{prose(9, 'qrstuv')} {text} {prose(9, 'qrstuv')}") for i, text in edited + [(i, item.upper().replace("Σ", "ς")) for i, item in items[30:]]]
+    x, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.pairs(x, b).collect()} == {(i, i) for i, _ in items}
+
+
+def test_folding_keeps_lengths():
+    text = "ÀÉÑÜ×ßſİŸĀΩЯԱ ǅ Aa\t\n é"
+    data = np.frombuffer(text.encode(), np.uint8)
+    folded, offsets = D.normalised(data, np.array([0, len(data)]))
+    assert folded.tobytes().decode() == "àéñü×ßſİÿāωяա ǆ aa é" and offsets[-1] == len(folded)
