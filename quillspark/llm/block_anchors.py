@@ -1,9 +1,11 @@
 """Substring dedup by fixed-block anchors.
 
-Candidate pieces come from :mod:`repeats`. Within a partition the non-overlapping blocks of every
-piece are indexed, every rolling window of a block's length probes the index, and the hits are
-extended to both sides as long as they repeat. A block has half a window (rounded up), so
-whatever window repeats holds one whole indexed block of either copy.
+Candidate pieces come from :mod:`repeats`. The non-overlapping blocks of every piece are indexed, and every rolling
+window of a block's length probes the index; a hit is checked on the words themselves. The hits of one block are
+extended to both sides, a word at a time and all at once: those with equal next words stay together, and a hit that is left
+alone has reached the end of its maximal repeat. Where left and right extension of a hit add up to a whole window with
+another hit still beside it, that window repeats. A block has half a window (rounded up), so whatever
+window repeats holds one whole indexed block of either copy.
 
 Nulls are empty texts. Texts shorter than the window keep all their words. Rows that share a
 doc_id are separate documents; a repeated row repeats all its windows.
@@ -28,41 +30,91 @@ def spec(window: int) -> Spec:
     return Spec("words", window, max(1, window // 4 + 1), True)
 
 
-def finder(s: Spec) -> Finder:
-    block = (s.length + 1) // 2
+def _codes(words: K.Words) -> np.ndarray:
+    """A number for each word, equal for equal words only."""
+    inside = np.zeros(len(words.data) + 1, np.int32)
+    np.add.at(inside, words.starts, 1)
+    np.add.at(inside, words.ends, -1)
+    kept = words.data[np.cumsum(inside[:-1]) > 0]
+    offsets = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def anchored(code: np.ndarray, hashes: np.ndarray, first: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hits: places where a run of ``block`` words equals an indexed block, and which (blocks numbered alike where equal).
+
+    The index holds the blocks at multiples of ``block`` words of each row; first: the rows' first words.
+    """
+    n = len(code)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    probe, fits = K.ngrams(hashes, block), K.window_ok(first, n, block)
+    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
+    at = np.flatnonzero(fits & (place[: len(fits)] % block == 0))
+    if not len(at):
+        return none
+    index, which = np.unique(probe[at], return_index=True)
+    holder = at[which]
+    slot = np.minimum(np.searchsorted(index, probe), len(index) - 1)
+    hit = np.flatnonzero(fits & (index[slot] == probe))
+    group = slot[hit]
+    equal = np.ones(len(hit), bool)
+    for j in range(block):
+        equal &= code[hit + j] == code[holder[group] + j]
+    if not equal.all():  # different blocks of one hash: number them by their words
+        group = np.unique(np.stack([code[hit + j] for j in range(block)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        indexed = np.zeros(int(group.max()) + 1, bool)
+        indexed[group[np.isin(hit, at)]] = True
+        hit, group = hit[indexed[group]], group[indexed[group]]
+    return hit, group
+
+
+def _extended(group: np.ndarray, weight: np.ndarray, code: np.ndarray, nexts: list[np.ndarray]) -> list[np.ndarray]:
+    """Group of each hit after 0, 1, ... words of extension; -1 once it has none beside it. nexts: its next word's place, -1 for none."""
+    level = np.where(np.bincount(group, weight)[group] > 1, group, -1) if len(group) else group
+    out = [level]
+    for at in nexts:
+        live = np.flatnonzero((level >= 0) & (at >= 0))
+        rank, _ = K.pair_ranks(level[live], code[at[live]])
+        together = np.bincount(rank, weight[live])[rank] > 1 if len(live) else np.zeros(0, bool)
+        level = np.full(len(group), -1, np.int64)
+        level[live[together]] = rank[together]
+        out.append(level)
+    return out
+
+
+def repeated_starts(code: np.ndarray, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """The starts of the windows of ``length`` words that occur twice or more. count: times that each row is there."""
+    block = (length + 1) // 2
+    more = length - block
+    hit, group = anchored(code, hashes, first, block)
+    row = np.searchsorted(first, hit, "right") - 1
+    begin, end, weight = first[row], first[row + 1], count[row]
+    left = _extended(group, weight, code, [np.where(hit - d >= begin, hit - d, -1) for d in range(1, more + 1)])
+    right = _extended(group, weight, code, [np.where(hit + block + d < end, hit + block + d, -1) for d in range(more)])
+    found = np.zeros(len(code), bool)
+    for d in range(more + 1):
+        a, b = left[d], right[more - d]
+        live = np.flatnonzero((a >= 0) & (b >= 0))
+        if len(live):
+            rank, _ = K.pair_ranks(a[live], b[live])
+            found[hit[live[np.bincount(rank, weight[live])[rank] > 1]] - d] = True
+    return np.flatnonzero(found)
+
 
+def finder(s: Spec) -> Finder:
     def find(p: Pieces) -> list:
         sizes = np.array([len(x) for x in p.text], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        words = K.Words(np.frombuffer(b"".join(p.text), np.uint8), offsets)
-        h, first, n = words.hashes(), words.first, int(words.first[-1])
+        words = K.Words(np.frombuffer(b"".join(p.text), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
         out: list = [[] for _ in p.text]
-        if n < s.length:
-            return out
-        # the index: each piece's blocks; the probes: every run of a block's length
-        probe, fits = K.ngrams(h, block), K.window_ok(first, n, block)
-        place = np.arange(n) - np.repeat(first[:-1], words.counts)
-        aligned = fits & (place[: len(fits)] % block == 0)
-        index = np.unique(probe[aligned])
-        back = np.minimum(np.searchsorted(index, probe), max(len(index) - 1, 0))
-        found = fits & (index[back] == probe)
-        weight = np.repeat(p.count, words.counts)[: len(found)]
-        hits = found & (np.bincount(back[found], weight[found], len(index))[back] > 1)
-        # windows that hold a hit
-        total = np.concatenate([[0], np.cumsum(hits)])
-        start = np.flatnonzero(K.window_ok(first, n, s.length))
-        start = start[total[start + s.length - block + 1] > total[start]]
-        piece = np.searchsorted(first, start, "right") - 1
-        # extension: equal whole windows
-        key = K.ngrams(h, s.length)[start]
-        _, same = np.unique(key, return_inverse=True)
-        often = np.bincount(same, p.count[piece])[same] > 1 if len(same) else np.zeros(0, bool)
-        for a, k in zip((start - first[piece])[often].tolist(), piece[often].tolist()):
-            spans = out[k]
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], a + s.length, 0)
-            else:
-                spans.append((a, a + s.length, 0))
+        start = repeated_starts(_codes(words), words.hashes(), words.first, p.count, s.length)
+        piece = np.searchsorted(words.first, start, "right") - 1
+        begin = start - words.first[piece]
+        # maximal runs
+        head = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (begin[1:] > begin[:-1] + s.length)])) if len(start) else start
+        last = np.append(head[1:], len(start)) - 1 if len(start) else head
+        for k, a, b in zip(piece[head].tolist(), begin[head].tolist(), begin[last].tolist()):
+            out[k].append((a, b + s.length, 0))
         return out
 
     return find

@@ -24,16 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import collect_garbage, staged, tidied, tune, unstage, width
+from .common import partition_keys, salted_join, staged, tidied, tune, unstage, width
 
 #: Text of a chunk, in bytes.
 CHUNK_BYTES = 12 << 20
 #: Text that a finder gets at once, in bytes.
-FIND_BYTES = 1 << 20
+FIND_BYTES = 1 << 18
+#: Distinct text for each partition of the Python stages, which hold what a partition gets.
+PARTITION_BYTES = 8 << 20
 _NO_ID = -(1 << 63)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93
@@ -53,16 +55,36 @@ class Spec:
     def span(self) -> int:
         return self.length - self.k + 1
 
+    @property
+    def least_bytes(self) -> int:
+        """Bytes that a text with a window has at least."""
+        return self.length if self.unit == "bytes" else 2 * self.length - 1
+
+
+def _content(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
 
 def identity(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, _id (never null), _cid (hash of the text), _text (never null) and the columns ``more``."""
+    """doc_id, _id (never null), _cid and _chk (hashes of the text), _text (never null) and the columns ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text, F.length(text)).alias("_cid"), text.alias("_text"), *more)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), _content(text).alias("_cid"), F.xxhash64(F.lit(7), text).alias("_chk"), text.alias("_text"), *more)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """_cid, its smallest _id (_least) and its number of rows (_n)."""
-    return docs.groupBy("_cid").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+def classes(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
+    """(docs, kinds, bytes): the classes of equal texts that have a window, and the bytes of one text each.
+
+    kinds: _cid, its smallest _id (_least) and its number of rows (_n). Texts of one _cid but different _chk are told apart by a new _cid.
+    """
+    while True:
+        long = docs.where(F.octet_length("_text") >= spec.least_bytes)
+        found = long.groupBy("_cid").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.min("_chk").alias("_lo"), F.max("_chk").alias("_hi"), F.max(F.octet_length("_text")).alias("_b"))
+        found = staged(found, "classes")
+        size, clashes = found.agg(F.sum("_b"), F.count_if(F.col("_lo") != F.col("_hi"))).first()
+        if not clashes:
+            return docs, found.select("_cid", "_least", "_n"), size or 0
+        clash = found.where("_lo <> _hi").select("_cid", F.lit(True).alias("_clash"))
+        docs = docs.join(clash, "_cid", "left").withColumn("_cid", F.when(F.col("_clash"), F.xxhash64("_cid", "_chk")).otherwise(F.col("_cid"))).drop("_clash")
 
 
 class Items:
@@ -179,11 +201,10 @@ def _lists(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, pa.ListArr
     return owner[head], pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)).astype(np.int32)), pa.array(value))
 
 
-def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
+def shared_minimizers(docs: DataFrame, spec: Spec, parts: int) -> DataFrame:
     """_cid and _shared: its minimizers that occur elsewhere, for texts that have any."""
-    spark = docs.sparkSession
-    tune(spark)
-    parts = width(spark)
+    tune(docs.sparkSession)
+    keys = partition_keys(parts)
 
     def ask(batches):
         for held in _chunks(batches):
@@ -212,7 +233,7 @@ def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
             kind = np.concatenate([known[first].astype(np.uint8), np.full(len(some), 2, np.uint8)])
             take = np.concatenate([first, some])
             fp, owner = fp[take], owner[take]
-            bucket = np.where(kind < 2, fp >> np.uint64(40), K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
+            bucket = keys[np.where(kind < 2, fp >> np.uint64(40), K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts]
             order = np.argsort(bucket, kind="stable")
             bucket, fp, owner, kind = bucket[order], fp[order], owner[order], kind[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -239,7 +260,7 @@ def shared_minimizers(docs: DataFrame, spec: Spec) -> DataFrame:
             yes = (kind == 0) & new_pair & ((np.bincount(group, new_pair) > 1) | (np.bincount(group, kind) > 0))[group]
             fp, owner = fp[yes], owner[yes]
         fp, owner = np.concatenate([fp, known_fp]), np.concatenate([owner, known_owner])
-        bucket = (K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
+        bucket = keys[(K.mix(owner.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts]
         order = np.lexsort((fp, owner, bucket))
         bucket, fp, owner = bucket[order], fp[order], owner[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
@@ -270,6 +291,7 @@ def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
 
     texts: _cid, _least, _n, _text, _shared.
     """
+    keys = partition_keys(parts)
 
     def run(batches):
         for held in _chunks(batches):
@@ -301,7 +323,10 @@ def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
                 continue
             fp, value, row, place, number = (np.concatenate(c) for c in cols)
             order = np.lexsort((number, value, fp))
-            new = np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (value[order][1:] != value[order][:-1])])
+            alike = (fp[order][1:] == fp[order][:-1]) & (value[order][1:] == value[order][:-1])
+            for q in np.flatnonzero(alike).tolist():  # a hash is not enough
+                alike[q] = texts[order[q]] == texts[order[q + 1]]
+            new = np.concatenate([[True], ~alike])
             rep = np.empty(len(order), np.int64)
             rep[order] = np.cumsum(new) - 1
             head = order[new]
@@ -310,7 +335,7 @@ def pieces(texts: DataFrame, spec: Spec, parts: int) -> DataFrame:
             np.minimum.at(low, rep, least[row])
             chunk = uuid.uuid4().hex
             out = [(-1, _pack(pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array(cids[row]), pa.array(place.astype(np.int32))], names=["rep", "cid", "at"])))]
-            bucket = (fp[head] >> np.uint64(40)).astype(np.int64) % parts
+            bucket = keys[(fp[head] >> np.uint64(40)).astype(np.int64) % parts]
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
             for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
@@ -403,18 +428,21 @@ def resolve(packed: DataFrame, finder: Finder, parts: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, spec: Spec, finder: Finder) -> DataFrame:
-    """``docs`` (with the columns of :func:`identity`) and _least, _n and, for the row of _least, _spans (null if none)."""
-    parts = width(docs.sparkSession)
-    kinds = classes(docs.select("_cid", "_id"))
-    shared = shared_minimizers(docs, spec).join(kinds, "_cid")
-    asked = docs.select("_cid", "_id", "_text").join(shared.withColumnRenamed("_least", "_id").hint("shuffle_hash"), ["_cid", "_id"])
+    """``docs`` (with the columns of :func:`identity`) and _least, _n and, for the row of _least, _spans (null if none).
+
+    Texts too short for a window, null and empty ones among them, take part in no shuffle by content.
+    """
+    tune(docs.sparkSession)
+    docs, kinds, size = classes(docs, spec)
+    parts = max(width(docs.sparkSession), -(-size // PARTITION_BYTES))
+    short = F.octet_length("_text") < spec.least_bytes
+    long = docs.where(~short).select("_cid", "_id", "_text")
+    shared = staged(shared_minimizers(long, spec, parts).join(kinds, "_cid"), "shared")
+    asked = long.join(shared.withColumnRenamed("_least", "_id").hint("shuffle_hash"), ["_cid", "_id"])
     packed = staged(pieces(asked.withColumnRenamed("_id", "_least"), spec, parts), "pieces")
-    del shared, asked
-    for _ in range(2):  # the next step shuffles as much again
-        collect_garbage(docs.sparkSession, 1.5)
     marks = staged(resolve(packed, finder, parts), "marks")
-    unstage(packed)
-    # copies of a text take its class without the text; the text itself moves by its own row
-    per_row = docs.select("_cid", "_id").distinct().join(kinds, "_cid").join(marks, "_cid", "left")
-    per_row = per_row.select("_cid", "_id", "_least", "_n", F.when(F.col("_id") == F.col("_least"), F.col("_spans")).alias("_spans"))
-    return docs.join(per_row.hint("shuffle_hash"), ["_cid", "_id"])
+    unstage(shared, packed)
+    told = kinds.join(marks, "_cid", "left").where("_n > 1 or _spans is not null")
+    out = salted_join(docs, told, ["_cid"], "_n", short)
+    own = F.coalesce("_least", "_id")
+    return out.withColumns({"_least": own, "_n": F.coalesce("_n", F.lit(1).cast("bigint")), "_spans": F.when(F.col("_id") == own, F.col("_spans"))})

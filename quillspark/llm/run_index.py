@@ -1,11 +1,14 @@
 """Suffix-array dedup with a run-length index.
 
-Candidate pieces come from :mod:`repeats`. Each partition builds a run-compressed Burrows-Wheeler
-transform of its distinct pieces (suffixes are sorted by their first ``length`` bytes, equal ones by
-document id): runs, and text positions sampled at the two ends of every run. Each piece is then
-streamed backwards through the index: one LF step a byte, or on a mismatch a jump to the nearest run
-end with that byte, which the samples judge. Where the matching statistic reaches ``length``, the
-row's group of equal suffixes starts with the smallest document that has the string.
+Candidate pieces come from :mod:`repeats`. Each partition builds a run-compressed Burrows-Wheeler transform of its
+distinct pieces, laid out by their smallest document: the byte and first row of each run, and the text positions sampled at the two
+ends of every run. The suffix order itself is dropped after the build, so what stays grows with the runs, not with the text.
+
+Matching statistics are streamed from the samples, in text order. The suffix before a run's first row is the last sample of the run
+before it, and the two are compared byte by byte; from one sampled position to the next, the suffix before that of
+each further position is one place on and matches one byte less. Where the statistic reaches ``length``, the position is
+linked to that place; positions with one string form one chain of such links, and the least
+position on a chain lies in the smallest document that has the string.
 
 Nulls are empty texts. Texts shorter than the window keep all bytes. Documents with one doc_id are never
 smaller than each other, so a repeated row keeps its bytes. Bytes are removed on the input's own strings.
@@ -29,168 +32,133 @@ from .repeats import Finder, Pieces, Spec, identity, repeated_spans
 
 LENGTH = 50
 _END = 0xFF  # in no UTF-8 text
+#: Samples whose statistics are streamed at once.
+STREAM = 1 << 16
 
 
 def spec(length: int) -> Spec:
     return Spec("bytes", length, max(1, length * 3 // 8), False)
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each key, stable order of the keys)."""
-    order = np.argsort(key, kind="stable")
-    have = key[order]
-    rank = np.empty(len(key), np.uint64)
-    rank[order] = np.cumsum(np.concatenate([[False], have[1:] != have[:-1]]))
-    return rank, order
-
-
-def _ranks(text: np.ndarray, length: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """width -> rank of each suffix by its first ``width`` bytes, for powers of two and ``length``; the last order."""
+def _suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes in order, each up to its own end mark; equal ones by place. left: bytes before the end mark."""
     n = len(text)
-    padded = np.concatenate([text, np.full(8, _END, np.uint8)])
-    size = 1
-    while size * 2 <= min(length, 8):
-        size *= 2
-    key = np.zeros(n, np.uint64)
-    for j in range(size):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    rank, order = _ranked(key)
-    out = {size: rank}
-    while size < length:
-        step = size if size * 2 <= length else length - size
-        # past the end: a rank of its own, above all others
-        ahead = np.concatenate([rank[step:], np.full(min(step, n), n, np.uint64)])
+    number = np.zeros(256, np.int64)
+    number[np.unique(text)] = 1
+    number = np.cumsum(number) * number  # bytes that occur, from 1; 0: the end
+    number[_END] = 0
+    bits = int(number.max()).bit_length() or 1
+    size = max(1, (62 - int(n).bit_length()) // bits)
+    code = np.concatenate([number[text], np.zeros(size, np.int64)])
+    key = code[:n].copy()
+    for j in range(1, size):
+        key <<= bits
+        key |= np.where(j < left, code[j : j + n], 0)
+    rank, order = K.pair_ranks(key, np.zeros(n, np.int64))
+    longest = int(left.max(initial=0))
+    while size < longest:
+        step = min(size, longest - size)
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - step] = np.where(left[: n - step] > step, rank[step:] + 1, 0)
+        rank, order = K.pair_ranks(rank, ahead)
         size += step
-        rank, order = _ranked((rank << np.uint64(32)) | ahead)
-        out[size] = rank
-    return out, order
+    return order
 
 
 @dataclass
 class RunIndex:
-    """heads: first row of each run, with its byte; samples: text position of its first and last row."""
+    """The runs of the transform: byte and first row of each, and the text positions of their first and last rows."""
 
-    n: int
-    heads: np.ndarray
+    text: np.ndarray  # pieces, each with an end mark
     byte: np.ndarray
+    heads: np.ndarray
     first_at: np.ndarray
     last_at: np.ndarray
-    before: np.ndarray  # rows with the run's byte in earlier runs of that byte, plus smaller bytes' rows
-    by_byte: np.ndarray  # runs ordered by byte, then row
-    byte_start: np.ndarray  # where each byte's runs begin in by_byte
-    run: np.ndarray  # directory: the run of each row
-    group: np.ndarray  # directory: the group of equal suffixes of each row
-    group_at: np.ndarray  # text position of each group's first row
-    ranks: dict
-    text: np.ndarray
 
     @classmethod
-    def build(cls, text: np.ndarray, length: int) -> RunIndex:
-        ranks, order = _ranks(text, length)
-        sorted_rank = ranks[length][order]
-        bwt = text[order - 1]  # row of position 0 takes the last byte, an end mark
-        change = np.concatenate([[True], bwt[1:] != bwt[:-1]])
-        heads = np.flatnonzero(change)
-        ends = np.append(heads[1:], len(text))
-        byte = bwt[heads]
-        by_byte = np.argsort(byte, kind="stable")
-        size = (ends - heads)[by_byte]
-        before = np.empty(len(heads), np.int64)
-        before[by_byte] = np.concatenate([[0], np.cumsum(size)[:-1]])
-        new = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-        return cls(len(text), heads, byte, order[heads], order[ends - 1], before, by_byte, np.searchsorted(byte[by_byte], np.arange(257)), np.cumsum(change) - 1, sorted_rank.astype(np.int64), order[new], ranks, text)
-
-    def lcp(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Common bytes of the suffixes at two text positions, up to the index's length."""
-        length, got = max(self.ranks), np.zeros(len(x), np.int64)
-        widths = sorted((w for w in self.ranks if w & (w - 1) == 0), reverse=True)
-        # the ranks by powers of two, then single bytes
-        for w in [*widths, *([1] * (min(widths) - 1))]:
-            a, b = x + got, y + got
-            ok = (a < self.n) & (b < self.n) & (got + w <= length)
-            same = self.text if w == 1 else self.ranks[w]
-            ok[ok] = same[a[ok]] == same[b[ok]]
-            got = got + np.where(ok, w, 0)
-        ok = (x < self.n) & (y < self.n)
-        ok[ok] = self.ranks[length][x[ok]] == self.ranks[length][y[ok]]
-        return np.where(ok, length, got)
-
-    def stream(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, length: int):
-        """Matching statistics of text[start:end) for many spans at once, from their ends: yields (spans, position, lengths, rows)."""
-        order = np.argsort(-(end - start), kind="stable")
-        keys = (self.byte[self.by_byte].astype(np.int64) << 40) | self.by_byte
-        ends = np.append(self.heads[1:], self.n)
-        live, at = order, end[order].copy()
-        row = np.zeros(len(order), np.int64)
-        size = np.zeros(len(order), np.int64)
+    def build(cls, text: np.ndarray) -> RunIndex:
+        ends = np.flatnonzero(text == _END)
+        left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(len(text))
+        order = _suffix_order(text, left)
+        column = text[order - 1]  # the row of position 0 takes the last byte, an end mark
+        # the first suffix of a piece has no byte before it: a run of its own
+        heads = np.flatnonzero(np.concatenate([[True], (column[1:] != column[:-1]) | (column[1:] == _END)]))
+        tails = np.append(heads[1:], len(text)) - 1
+        return cls(text, column[heads], heads.astype(np.int32), order[heads].astype(np.int32), order[tails].astype(np.int32))
+
+    @property
+    def nbytes(self) -> int:
+        """What the index holds besides the text."""
+        return sum(x.nbytes for x in (self.byte, self.heads, self.first_at, self.last_at))
+
+    def common(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common bytes of the texts at positions x and y, up to ``most``, which end marks must not be in."""
+        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.text) + 1, "<u8", padded.data, strides=(1,))
+        got, live = np.zeros(len(x), np.int64), np.flatnonzero(most > 0)
         while len(live):
-            more = at > start[live]
-            if not more.all():
-                live, at, row, size = live[more], at[more], row[more], size[more]
-                if not len(live):
-                    return
-            at = at - 1
-            c = text[at]
-            run = self.run[row]
-            miss = np.flatnonzero(self.byte[run] != c)
-            if len(miss):
-                lo, hi = self.byte_start[c[miss]], self.byte_start[c[miss].astype(np.int64) + 1]
-                # runs of the byte around the row
-                nxt = np.searchsorted(keys, (c[miss].astype(np.int64) << 40) | run[miss])
-                has_next, has_prev = nxt < hi, nxt > lo
-                next_run = self.by_byte[np.minimum(nxt, len(self.by_byte) - 1)]
-                prev_run = self.by_byte[np.maximum(nxt - 1, 0)]
-                tail = at[miss] + 1
-                next_lcp = np.where(has_next, self.lcp(tail, self.first_at[next_run]), -1)
-                prev_lcp = np.where(has_prev, self.lcp(tail, self.last_at[prev_run]), -1)
-                up = prev_lcp > next_lcp
-                run[miss] = np.where(up, prev_run, next_run)
-                row[miss] = np.where(up, ends[prev_run] - 1, self.heads[next_run])
-                size[miss] = np.minimum(size[miss], np.maximum(prev_lcp, next_lcp))
-            row = self.before[run] + row - self.heads[run]
-            size = np.minimum(size + 1, length)
-            yield live, at, size, row
+            differ = eight[x[live] + got[live]] ^ eight[y[live] + got[live]]
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            got[live] += same
+            live = live[(same == 8) & (got[live] < most[live])]
+        return np.minimum(got, most)
+
+    def statistics(self, length: int):
+        """(positions, places): where the suffix before that of a position matches it for ``length`` bytes, streamed by position."""
+        ends = np.flatnonzero(self.text == _END)
+        by_place = 1 + np.argsort(self.first_at[1:], kind="stable")
+        for i in range(0, len(by_place), STREAM):
+            runs = by_place[i : i + STREAM]
+            at, before = self.first_at[runs].astype(np.int64), self.last_at[runs - 1].astype(np.int64)
+            beyond = int(self.first_at[by_place[i + STREAM]]) if i + STREAM < len(by_place) else len(self.text)
+            reach = np.append(at[1:], beyond) - at  # positions that this sample answers for
+            rest = np.minimum(ends[np.searchsorted(ends, at)] - at, ends[np.searchsorted(ends, before)] - before)
+            size = self.common(at, before, np.minimum(rest, reach + length))
+            times = np.clip(size - length + 1, 0, reach)
+            step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            yield np.repeat(at, times) + step, np.repeat(before, times) + step
+
+    def least_places(self, length: int) -> np.ndarray:
+        """For each text position the least one with the same ``length`` bytes (itself where its statistic never reaches that)."""
+        top = np.arange(len(self.text))
+        linked = []
+        for at, before in self.statistics(length):
+            top[at] = before
+            linked.append(at)
+        if not linked:
+            return top
+        at = np.concatenate(linked)
+        while True:  # to the first place of each chain, doubling the step
+            ahead = top[top[at]]
+            if (ahead == top[at]).all():
+                break
+            top[at] = ahead
+        least = np.arange(len(self.text))
+        np.minimum.at(least, top[at], at)
+        return least[top]
 
 
 def finder(s: Spec) -> Finder:
     def find(p: Pieces) -> list:
         out: list = [[] for _ in p.text]
-        # a minimizer with one piece left is no index to search: its copies have each other
-        _, back, times = np.unique(p.fp, return_inverse=True, return_counts=True)
-        alone = times[back] == 1
-        for k in np.flatnonzero(alone & (p.count > 1)).tolist():
-            out[k].append((0, len(p.text[k]), int(p.least[k])))
-        several = np.flatnonzero(~alone)
-        if not len(several):
-            return out
-        by_doc = several[np.argsort(p.least[several], kind="stable")]  # equal suffixes are then ordered by document
+        by_doc = np.argsort(p.least, kind="stable")  # a smaller position is in a smaller document
         mark = bytes([_END])
         text = np.frombuffer(mark.join(p.text[k] for k in by_doc.tolist()) + mark, np.uint8)
         sizes = np.array([len(p.text[k]) for k in by_doc.tolist()], np.int64)
         start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        index = RunIndex.build(text, s.length)
+        places = RunIndex.build(text).least_places(s.length)
+        windows = np.maximum(sizes - s.length + 1, 0)
+        piece = np.repeat(np.arange(len(sizes)), windows)
+        a = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
         low = p.least[by_doc]
-        group_low = low[np.searchsorted(start, index.group_at, "right") - 1]
-        got_span, got_at, got_low = [], [], []
-        for live, at, size, row in index.stream(text, start, start + sizes, s.length):
-            full = np.flatnonzero(size >= s.length)
-            if len(full):
-                got_span.append(live[full])
-                got_at.append(at[full])
-                got_low.append(group_low[index.group[row[full]]])
-        if not got_span:
-            return out
-        span, at, least = np.concatenate(got_span), np.concatenate(got_at), np.concatenate(got_low)
-        own, many = low[span], (p.count[by_doc] > 1)[span]
-        for which, of in (((least < own), least), ((least == own) & many, own)):
-            k, a, d = span[which], (at - start[span])[which], of[which]
-            o = np.lexsort((a, k))
-            k, a, d = k[o], a[o], d[o]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] > a[:-1] + 1)]) if len(k) else np.zeros(0, bool)
-            head = np.flatnonzero(new)
+        own, d = low[piece], low[np.searchsorted(start, places[start[piece] + a], "right") - 1]
+        many = (p.count[by_doc] > 1)[piece]
+        for which in (d < own, (d == own) & many):
+            k, b, e = piece[which], a[which], d[which]
+            head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] > b[:-1] + 1)])) if len(k) else np.zeros(0, np.int64)
             last = np.append(head[1:], len(k)) - 1 if len(k) else head
-            top = np.maximum.reduceat(d, head) if len(k) else d
-            for j, x, y, z in zip(by_doc[k[head]].tolist(), a[head].tolist(), a[last].tolist(), top.tolist()):
+            top = np.maximum.reduceat(e, head) if len(k) else e
+            for j, x, y, z in zip(by_doc[k[head]].tolist(), b[head].tolist(), b[last].tolist(), top.tolist()):
                 out[j].append((x, y + s.length, z))
         return out
 

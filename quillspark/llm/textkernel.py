@@ -155,3 +155,28 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(depth, starts, 1)
     np.add.at(depth, ends, -1)
     return np.cumsum(depth[:-1]) > 0
+
+
+def pair_ranks(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dense rank of each pair of small non-negative numbers, their order; equal pairs in order of place)."""
+    n = len(high)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, width = int(n - 1).bit_length(), int(low.max()).bit_length()
+    if int(high.max()).bit_length() + width + place <= 63:  # one sort of numbers, the place in their last bits
+        key = high.astype(np.int64)
+        key <<= width
+        key |= low
+        key <<= place
+        key |= np.arange(n)
+        key.sort()
+        order = key & ((1 << place) - 1)
+        key >>= place
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((low, high))
+        new = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    rank = np.empty(n, np.int64)
+    rank[order[0]] = 0
+    rank[order[1:]] = np.cumsum(new)
+    return rank, order

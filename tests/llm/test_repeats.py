@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quillspark.llm import block_anchors as A
+from quillspark.llm import repeats as P
 from quillspark.llm import run_index as R
 
 
@@ -112,3 +115,74 @@ def test_driver_tables_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(r) for r in A.query(docs).collect()), key=str) == brute_words(rows, 35)
     assert sorted(tuple(r) for r in R.query(docs).collect()) == brute_bytes(rows, 50)
+
+
+def marked(pieces):
+    return np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
+
+
+def test_index_against_sorted_suffixes():
+    rnd = random.Random(5)
+    for _ in range(20):
+        text = marked([bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(0, 40))) for _ in range(9)])
+        raw, ends = text.tobytes(), [i for i, b in enumerate(text) if b == 255]
+        upto = lambda i: min(e for e in ends if e >= i)
+        order = sorted(range(len(raw)), key=lambda i: (raw[i : upto(i)], i))
+        index = R.RunIndex.build(text)
+        sizes = np.diff(np.append(index.heads, len(text)))
+        assert np.repeat(index.byte, sizes).tolist() == [raw[i - 1] for i in order]
+        assert index.first_at.tolist() == [order[h] for h in index.heads] and index.last_at.tolist() == [order[h + n - 1] for h, n in zip(index.heads, sizes)]
+        for length in (1, 4, 9):
+            low = {}
+            for i in range(len(raw)):
+                if upto(i) - i >= length:
+                    low.setdefault(raw[i : i + length], i)
+                    assert index.least_places(length)[i] == low[raw[i : i + length]]
+
+
+def test_index_of_repetitive_text_grows_with_its_runs():
+    rnd = random.Random(6)
+    base = bytes(rnd.choice(b"abcdefgh ") for _ in range(2000))
+    pieces = []
+    for _ in range(200):
+        p = bytearray(base)
+        p[rnd.randrange(len(p))] = 33
+        pieces.append(bytes(p))
+    text = marked(pieces)
+    index = R.RunIndex.build(text)
+    assert len(text) > 20 * len(index.byte)
+    assert index.nbytes == 13 * len(index.byte) < len(text)
+    assert (index.least_places(50) < np.arange(len(text))).mean() > 0.9
+
+
+def test_samples_and_anchors_decide(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
+    texts = [b"x " * 3 + b" ".join(b"w%d" % i for i in range(50)), b" ".join(b"w%d" % i for i in range(50)) + b" end"]
+    piece = P.Pieces(texts, np.zeros(2, np.uint64), np.array([3, 5]), np.ones(2, np.int64))
+    assert [len(x) for x in R.finder(R.spec(50))(piece)] == [0, 1] and [len(x) for x in A.finder(A.spec(35))(piece)] == [1, 1]
+    monkeypatch.setattr(R.RunIndex, "statistics", lambda self, length: iter(()))
+    monkeypatch.setattr(A, "anchored", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert [len(x) for x in R.finder(R.spec(50))(piece)] == [0, 0] and [len(x) for x in A.finder(A.spec(35))(piece)] == [0, 0]
+    assert docs.count()
+
+
+def test_blocks_of_one_hash(monkeypatch):
+    rnd = random.Random(8)
+    rows = [[rnd.randrange(3) for _ in range(rnd.randrange(0, 30))] for _ in range(12)]
+    code = np.array([c for r in rows for c in r], np.int64)
+    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    monkeypatch.setattr(A.K, "ngrams", lambda h, k: np.ones(max(len(h) - k + 1, 0), np.uint64))
+    for length in (1, 2, 3, 6):
+        windows = [tuple(r[i : i + length]) for r in rows for i in range(len(r) - length + 1)]
+        starts = [f + i for f, r in zip(first.tolist(), rows) for i in range(len(r) - length + 1)]
+        want = [s for s, w in zip(starts, windows) if windows.count(w) > 1]
+        assert A.repeated_starts(code, code.astype(np.uint64), first, np.ones(len(rows), np.int64), length).tolist() == want
+
+
+def test_texts_of_one_hash_and_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "_content", lambda text: F.length(text).cast("bigint") % 7)
+    monkeypatch.setattr(P, "PARTITION_BYTES", 4000)
+    rows = corpus(12) + [(1000 + i, "hot " * 60) for i in range(80)] + [(2000 + i, None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in A.query(docs).collect()), key=str) == brute_words(rows, 35)
+    assert sorted(tuple(r) for r in R.query(docs).collect()) == brute_bytes(rows, 50)
