@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernel as K
 from .common import tidied, tune
@@ -182,6 +183,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(item_kind)
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, window int, edits int, start bigint"
     out = None
     for index in blocks(benchmark):
@@ -194,7 +196,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for i, j in K.slices(offsets):
                     row, window, edits, start = matches(x, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array([x.items[k] for k in x.item[window].tolist()], pa.int64()), pa.array(window.astype(np.int32)), pa.array(edits.astype(np.int32)), pa.array(start.astype(np.int64))], names=["doc_id", "item_id", "window", "edits", "start"])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array([x.items[k] for k in x.item[window].tolist()], item_type), pa.array(window.astype(np.int32)), pa.array(edits.astype(np.int32)), pa.array(start.astype(np.int64))], names=["doc_id", "item_id", "window", "edits", "start"])
 
         part = docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(tidied(run), schema)
         out = part if out is None else out.union(part)

@@ -11,7 +11,9 @@ gzip-compressed and written by Spark's own text sink to a folder given by the ca
 
 Defined results: a null html is an empty payload, which is never revisited. Rows that share a page_id and
 payload are the same record twice, both responses. Rows with a null page_id keep it null; they are archived under
-no page and revisit like others, but are never referred to before others are.
+no page, all as responses if only they have that payload, and are never referred to before others are. A record without an HTTP head is a resource of the
+type that its header names. A malformed record becomes a resource marked ``WARC-Legacy-Header: malformed``
+(:func:`read_arc` gives it no date), so one bad header neither ends the job nor vanishes; only a file without a version block raises.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ FILE_BYTES = 2 << 20
 REVISIT_BYTES = 100
 # The two ARC versions' field lists, as the formats define them.
 _FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
+MALFORMED = "malformed"
 _EPOCH = datetime.datetime(2008, 1, 1)
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -60,8 +63,21 @@ def arc_record(version: int, page: int | None, url: str | None, body: bytes, off
     return f"{_url(url)} 0.0.0.0 {when} text/html {more}{len(block)}\n".encode() + block
 
 
+def _header(line: list[str], version: int) -> tuple[str, str, str] | None:
+    """(url, date, mime) of a record's header line; a url may hold spaces. None: not a header of this version."""
+    more = len(_FIELDS[version].split(" ")) - 1  # fields after the url
+    if len(line) <= more or not re.fullmatch(r"\d{14}", line[-more:][1]):
+        return None
+    rest = line[-more:]
+    return " ".join(line[:-more]), rest[1], rest[2]
+
+
 def parse_arc(raw: bytes):
-    """(url, date, mime, block) of each record after the version block; lengths are as declared."""
+    """(url, date, mime, block) of each record after the version block; lengths are as declared.
+
+    A record whose header line has other fields than its version's is given with the line as its url, no date and the type ``malformed``; its length
+    still tells where the next one starts. What lies behind a line without a length, or is cut off, is one last such record.
+    """
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     at, version = 0, None
     while at < len(raw):
@@ -69,23 +85,23 @@ def parse_arc(raw: bytes):
             at += 1
             continue
         end = raw.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"a header line without end at byte {at}")
-        line = raw[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        size = int(line[-1])
-        block = raw[end + 1 : end + 1 + size]
-        if len(block) < size:
-            raise ValueError(f"a record declares {size} bytes at byte {at}; {len(block)} are left")
+        line = raw[at : end if end >= 0 else len(raw)].decode("utf-8", "replace").rstrip("\r").split(" ")
+        size = int(line[-1]) if end >= 0 and re.fullmatch(r"[0-9]{1,15}", line[-1]) else -1
+        block = raw[end + 1 : end + 1 + size] if size >= 0 else b""
+        if version is not None and (size < 0 or len(block) < size):
+            yield " ".join(line), "", MALFORMED, raw[end + 1 :] if end >= 0 else b""
+            return
         if version is None:
+            if size < 0 or len(block) < size:
+                raise ValueError("no whole version block")
             if not line[0].startswith("filedesc:"):
                 raise ValueError("no version block")
             version = int(block.split(b" ", 1)[0])
             if version not in _FIELDS:
                 raise ValueError(f"version {version}")
         else:
-            if len(line) != len(_FIELDS[version].split(" ")):
-                raise ValueError(f"{len(line)} fields in a version {version} header at byte {at}")
-            yield line[0], line[2], line[3], block
+            head = _header(line, version)
+            yield (*head, block) if head else (" ".join(line), "", MALFORMED, block)
         at = end + 1 + size
 
 
@@ -101,18 +117,22 @@ def record_id(page: int | None, url: str, date: str, digest: str) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{page}\0{url}\0{date}\0{digest}").urn
 
 
-def warc_record(url: str, date: str, page: int | None, digest: str, head: bytes, body: bytes, refers_to: str | None, kind: str = "response") -> bytes:
-    """A WARC record without its end mark."""
+def warc_record(url: str, date: str, page: int | None, digest: str, head: bytes, body: bytes, refers_to: str | None, mime: str = "text/html") -> bytes:
+    """A WARC record without its end mark: a response or, without an HTTP head, a resource of its own type."""
     block = head if refers_to else head + body
+    date = date or _EPOCH.strftime("%Y%m%d%H%M%S")
     when = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    kind = "response" if head else "resource"
+    content = "application/http;msgtype=response" if head else mime if re.fullmatch(r"[\w.+-]+/[\w.+-]+", mime) else "application/octet-stream"
     lines = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if refers_to else kind}",
         f"WARC-Record-ID: <{record_id(page, url, date, digest)}>",
         f"WARC-Date: {when}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {_url(url)}",
+        *(["WARC-Legacy-Header: malformed"] if mime == MALFORMED else []),
         "WARC-IP-Address: 0.0.0.0",
-        f"Content-Type: application/http;msgtype={'response' if head else 'unknown'}",
+        f"Content-Type: {content}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         *([f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {_PROFILE}", "WARC-Truncated: length"] if refers_to else []),
@@ -159,7 +179,7 @@ def _files(parts, start: bytes, gap: bytes):
 
 def _write(files: DataFrame, path: str, gap: str) -> None:
     """One file for each row."""
-    files.select(F.col("_file").cast("string").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", gap).option("maxRecordsPerFile", 1).text(path)
+    files.select(F.col("_file").cast("string").alias("value")).write.mode("overwrite").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", gap).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
@@ -206,7 +226,6 @@ def read_arc(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "url", "date", "head", "body", "n", "digest"])
 
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return _binary(spark, path).mapInArrow(run, _RECORD)
 
 
@@ -222,15 +241,14 @@ def convert(spark, arc: str, warc: str) -> None:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
                 for url, date, _, block in parse_arc(raw.as_py()):
-                    headers, _, body = split_http(block)
+                    headers, head, body = split_http(block)
                     page = headers.get("x-page-id")
-                    if len(body) >= REVISIT_BYTES:
+                    if head and len(body) >= REVISIT_BYTES:
                         rows.append((path, int(page) if page else None, url, date, hashlib.sha256(body).hexdigest()))
                 cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["path", "page_id", "url", "date", "digest"])
 
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc).select("path", "content")
     keys = files.mapInArrow(digests, "path string, page_id bigint, url string, date string, digest string")
     first = keys.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url", "date")).alias("f"))
@@ -243,11 +261,11 @@ def convert(spark, arc: str, warc: str) -> None:
                 refers = {(x["page_id"], x["digest"]): record_id(x["f_page"], x["f_url"], x["f_date"], x["digest"]) for x in again or ()}
 
                 def rows(raw=raw, refers=refers):
-                    for url, date, _, block in parse_arc(raw.as_py()):
+                    for url, date, mime, block in parse_arc(raw.as_py()):
                         headers, head, body = split_http(block)
                         page = int(headers["x-page-id"]) if "x-page-id" in headers else None
                         digest = hashlib.sha256(body).hexdigest()
-                        yield warc_record(url, date, page, digest, head, body, refers.get((page, digest)))
+                        yield warc_record(url, date, page, digest, head, body, refers.get((page, digest)) if head else None, mime)
 
                 for x in _files(rows(), b"", b"\r\n\r\n"):
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["_file"])
@@ -267,16 +285,15 @@ def read_warc(spark, path: str) -> DataFrame:
                     page = http.get("x-page-id")
                     digest = headers["warc-payload-digest"].partition(":")[2]
                     kind = headers["warc-type"]
-                    if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+                    if kind != "revisit" and hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"the payload digest of {headers['warc-record-id']} differs")
-                    size = len(body) if kind == "response" else int(http["content-length"])
+                    size = len(body) if kind != "revisit" else int(http["content-length"])
                     rows.append((headers["warc-record-id"], int(page) if page else None, size, digest, kind, headers.get("warc-refers-to")))
                 cols = list(zip(*rows)) if rows else [()] * 6
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_id"])
 
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return _binary(spark, path).mapInArrow(run, "record_id string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_id string")
 
 

@@ -126,12 +126,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _measured(src, "_text").select(id_col, *(F.col(f"_q_{m}").alias(m) for m in MEASURES))
 
 
-def ledger(measured: DataFrame) -> DataFrame:
-    """Adds ``failed``: bit i is set when rule i fails."""
+def failed_bits(c: Callable[[str], Column] = F.col) -> Column:
+    """One number for each document: bit i is set when rule i fails."""
     bits = F.lit(0).cast("bigint")
-    for i, condition in enumerate(rules().values()):
+    for i, condition in enumerate(rules(c).values()):
         bits = bits.bitwiseOR(F.when(F.coalesce(condition, F.lit(True)), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return measured.withColumn("failed", bits)
+    return bits
+
+
+def ledger(measured: DataFrame) -> DataFrame:
+    """Adds ``failed``, the rules' bits, to the measurements."""
+    return measured.withColumn("failed", failed_bits())
 
 
 def mask(policy: str) -> int:
@@ -139,8 +144,8 @@ def mask(policy: str) -> int:
     return sum(1 << names.index(r) for r in POLICIES[policy])
 
 
-def violates(policy: str) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("bigint")) != 0
+def violates(policy: str, bits: str = "failed") -> Column:
+    return F.col(bits).bitwiseAND(F.lit(mask(policy)).cast("bigint")) != 0
 
 
 def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
@@ -164,12 +169,6 @@ def query(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns unchanged, without a shuffle."""
-    book = _measured(docs, text_col)
-    measures = F.struct(*(F.col(f"_q_{m}").alias(m) for m in MEASURES))
-    inner = book.select(*docs.columns, measures.alias("_q"))
-    failing = F.lit(False)
-    for name, test in rules(lambda m: F.col(f"_q.{m}")).items():
-        if name in POLICIES[policy]:
-            failing = failing | F.coalesce(test, F.lit(True))
-    return inner.where(~failing).select(*docs.columns)
+    """The rows of ``docs`` that the policy's mask keeps by their ledger bits, all columns unchanged, without a shuffle."""
+    book = _measured(docs, text_col).select(*docs.columns, failed_bits(lambda m: F.col(f"_q_{m}")).alias("_q_failed"))
+    return book.where(~violates(policy, "_q_failed")).select(*docs.columns)

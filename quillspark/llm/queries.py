@@ -37,6 +37,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy of op7_quality_rules contributes, from its ledger."""
+    return quality_rules.ablation(quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents"))), "v1")
+
+
 def op8_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.query(table(spark, sf_dir, "pages"))
 
@@ -49,7 +54,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_legacy_archives, op9_substring_dedup, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_legacy_archives, op9_substring_dedup, op10_piece_encoding, quality_rules_ablation)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,3 +85,9 @@ f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
 SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first < p.page_id THEN f.first END AS refers_to FROM p LEFT JOIN f USING (digest)""",
 }
+
+_BITS = ", ".join(f"('{r}', {1 << i})" for i, r in enumerate(quality_rules.POLICIES["v1"]))
+ORACLES["quality_rules_ablation"] = f"""
+WITH book AS ({ORACLES["op7_quality_rules"]})
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failed_bits = bit)::BIGINT AS n_only,
+  count(*) FILTER (failed_bits & ~bit = 0)::BIGINT AS n_kept_without FROM book, (VALUES {_BITS}) AS r(rule, bit) GROUP BY rule"""

@@ -125,3 +125,14 @@ def test_folding_keeps_lengths():
     data = np.frombuffer(text.encode(), np.uint8)
     folded, offsets = D.normalised(data, np.array([0, len(data)]))
     assert folded.tobytes().decode() == "àéñü×ßſİÿāωяա ǆ aa é" and offsets[-1] == len(folded)
+
+
+def test_other_key_types_and_clashing_columns(spark):
+    text = "The quick brown fox jumps over the lazy dog while twelve other animals look on and wonder."
+    docs = spark.createDataFrame([("d1", "before " + text + " after", 1, "x"), ("d2", None, 2, "y"), ("d1", "before " + text + " after", 1, "x")], "doc_id string, text string, window int, item_id string")
+    bench = spark.createDataFrame([("b1", text, 7), (None, text, 8), ("b3", "", 9)], "item_id string, text string, doc_id int")
+    got = sorted(((r.doc_id, r.item_id) for r in D.pairs(docs, bench).collect()), key=str)
+    assert got == sorted([("d1", "b1"), ("d1", None)], key=str)
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == ["d2"]
+    long = spark.createDataFrame([("b", "word " * 60000 + text)], "item_id string, text string")
+    assert {r.item_id for r in D.pairs(docs, long).collect()} == {"b"}
