@@ -197,7 +197,7 @@ def looks_pdf(content: Column) -> Column:
 # Entities and symbols with the TeX that typesets them.
 ENTITIES = {"&amp;": "\\&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " "}
 SYMBOLS = {
-    "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u2010": "-", "\u2011": "-", "\u2013": "--", "\u2014": "---",
+    "“": '"', "”": '"', "‘": "'", "’": "'", "‐": "-", "‑": "-", "–": "--", "—": "---",
     "α": "$\\alpha$", "β": "$\\beta$", "γ": "$\\gamma$", "δ": "$\\delta$", "ε": "$\\epsilon$", "κ": "$\\kappa$", "λ": "$\\lambda$",
     "μ": "$\\mu$", "σ": "$\\sigma$", "τ": "$\\tau$", "ω": "$\\omega$", "Δ": "$\\Delta$", "Ω": "$\\Omega$",
     "°": "$^\\circ$", "±": "$\\pm$", "×": "$\\times$", "⋅": "$\\cdot$",
@@ -228,6 +228,7 @@ def has_venue(entry: Column) -> Column:
 
 def typesettable(entry: Column) -> Column:
     """No tags, url or doi fields, entities or symbols that plain TeX cannot set."""
+    # fixed values: the patterns of a tag, and of a url or doi field
     s = F.regexp_replace(F.regexp_replace(entry, "<[^>]+>", " "), r"(?i),?\s*(?:url|doi)\s*=\s*\{[^}]*\}", "")
     for a, b in [*ENTITIES.items(), *SYMBOLS.items()]:
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -319,6 +320,7 @@ def body_and_references(text: Column) -> Column:
 
 def before_bibliography(text: Column) -> Column:
     """Without image data, and cut at the first bibliography heading."""
+    # fixed values: the patterns of an image definition and of the heading
     clean = F.regexp_replace(text, r"(?m)^\[image\d+\]:.*$", "")
     pattern = r"(?s)^(.*?)(?<![^\n])\s*(?:#+\s*|\*\*)?(?i:references)\b.*$"
     return F.when(clean.rlike(pattern), F.regexp_extract(clean, pattern, 1)).otherwise(clean)

@@ -44,9 +44,12 @@ def ranked(candidates: DataFrame, n: int) -> DataFrame:
 def phrases(docs: DataFrame, key: str, text: Column, least: int = 2, stop: list[str] = T.STOP_WORDS) -> DataFrame:
     """key, phrase, n, first: pairs of adjacent content words that occur at least ``least`` times in a text."""
     toks = T.phrase_tokens(text)
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - 1, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.get("_t", i - 1).alias("a"), F.get("_t", i).alias("b"))), lambda p: p["b"].isNotNull())
     ok = lambda w: ~w.isin(stop) & (F.length(w) > 2)
-    x = docs.select(key, toks.alias("_t")).select(key, F.explode(pairs).alias("p")).select(key, "p.*").where(ok(F.col("a")) & ok(F.col("b")))
+    # marked once a word; then pairs of marked words, before anything is exploded
+    word = F.transform("_t", lambda w: F.when(ok(w), w))
+    x = docs.select(key, toks.alias("_t")).select(key, word.alias("_w"))
+    pairs = F.filter(F.transform("_w", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("a"), F.get("_w", i + 1).alias("b"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    x = x.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
     return x.groupBy(key, F.concat_ws(" ", "a", "b").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).where(F.col("n") >= least)
 
 

@@ -27,7 +27,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        wide = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages") and len(df.inputFiles()) == 1 and df._jdf.queryExecution().toRdd().getNumPartitions() < wide:
+            return df.repartition(wide)  # long texts in one row group would be one task
+        return df
 
 
 def query(sql: str | None = None):
@@ -1166,3 +1170,131 @@ def s45_screening_dump(t):
     i = c("doc_id")
     payload = F.concat(lit('{"title":"'), "lang", lit('","abstract":"'), F.when(i % 2 == 0, "some").otherwise(""), lit('","doi":"10.1/D'), i.cast("string"), lit('"}'))
     return landed.screening(t.documents.select(payload.alias("p")), "p").select("doi", "title")
+
+
+# ---------------------------------------------------------------- sources and sinks over real files
+
+
+def _triage_rows(t):
+    i = c("c_custkey").cast("string")
+    made = {"doi": F.concat(lit(" 10.1/C"), i), "stem": F.concat(lit("s"), i), "year": lit("2001"), "title": F.concat(c("c_name"), lit(' "quoted", and more')), "tier": F.when(c("c_custkey") % 3 == 0, "").otherwise(c("c_mktsegment")), "note": F.when(c("c_custkey") % 2 == 0, "keep").otherwise("")}
+    return t.customer.select(*(made.get(x, lit("")).alias(x) for x in files.TRIAGE))
+
+
+@query("SELECT '10.1/c' || c_custkey AS doi, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS tier, '' AS replacement_doi, CASE WHEN c_custkey % 2 = 0 THEN 'keep' ELSE '' END AS note FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
+def s12_prior_decisions(t):
+    path = files.scratch(t.spark) + "/triage"
+    files.write_triage(_triage_rows(t), path)
+    return files.read_decisions(t.spark, path).unionByName(files.read_decisions(t.spark, path + "-missing"))
+
+
+@query("SELECT 's' || c_custkey AS stem, c_name || ' \"quoted\", and more' AS title, '2001' AS year FROM customer")
+def s13_triage_table(t):
+    path = files.scratch(t.spark) + "/triage"
+    files.write_triage(_triage_rows(t), path)
+    return files.read_triage(t.spark, path).select("stem", "title", "year")
+
+
+@query(f"SELECT '{chr(9).join(files.TRIAGE)}' AS line, 1 AS n UNION ALL SELECT tier, count(*) FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS tier FROM customer) GROUP BY 1")
+def s14_triage_file(t):
+    """The written file's header line, and its rows by their tier field."""
+    path = files.scratch(t.spark) + "/triage"
+    files.write_triage(_triage_rows(t), path)
+    lines = t.spark.read.text(path)
+    head = lit("\t".join(files.TRIAGE))
+    line = F.when(c("value") == head, head).otherwise(F.get(F.split("value", "\t"), lit(files.TRIAGE.index("tier"))))
+    return lines.select(line.alias("line")).groupBy("line").agg(F.count(lit(1)).alias("n"))
+
+
+def _folder(t):
+    root = files.scratch(t.spark)
+    for r in t.nation.select("n_nationkey", "n_regionkey").collect():  # 25 files
+        files.put(t.spark, f"{root}/r{r.n_regionkey}/n{r.n_nationkey}.tei.xml", "x" * (r.n_nationkey + 1))
+        files.put(t.spark, f"{root}/r{r.n_regionkey}/n{r.n_nationkey}.md", "note")
+    return root
+
+
+@query("SELECT 'n' || n_nationkey AS stem FROM nation")
+def s26_directory_stems(t):
+    return files.stems(t.spark, _folder(t), ".tei.xml", True)
+
+
+@query("SELECT 'r' || n_regionkey || '/n' || n_nationkey || e.x AS path, CASE WHEN e.x = '.md' THEN 4 ELSE n_nationkey + 1 END::INT AS size FROM nation, (VALUES ('.md'), ('.tei.xml')) e(x)")
+def s27_tree(t):
+    return files.tree(t.spark, _folder(t)).select("path", F.length("content").alias("size"))
+
+
+@query("SELECT '10.1/n' || n_nationkey AS doi, CASE WHEN n_nationkey % 4 > 0 THEN 1990 + n_nationkey END::INT AS year, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS title FROM nation")
+def s28_metadata_cache(t):
+    path = files.scratch(t.spark) + "/cache"
+    meta = F.when(c("n_nationkey") % 4 > 0, F.struct((1990 + c("n_nationkey")).cast("int").alias("year"), c("n_name").alias("title")))
+    files.write_cache(t.nation.select(text_of("10.1/n", c("n_nationkey")).alias("doi"), meta.alias("meta")), path)
+    return files.read_cache(t.spark, path).select("doi", "meta.year", "meta.title")
+
+
+@query("SELECT 'run ' || r.k AS project, CASE label % 3 WHEN 0 THEN 'fetched' WHEN 1 THEN 're-linked' ELSE 'gap' END AS kind, count(*) AS n FROM embeddings, (VALUES (1), (2)) r(k) GROUP BY 1, 2")
+def s29_append_only_log(t):
+    path = files.scratch(t.spark) + "/log"
+    part = lambda k: t.embeddings.where(c("label") % 3 == k).select(c("vec_id").cast("string").alias("stem"), lit("").alias("detail"))
+    for run in (1, 2):
+        files.append_log(files.log_rows(part(0), part(1), part(2), f"run {run}"), path)
+    return t.spark.read.parquet(path).groupBy("project", "kind").agg(F.count(lit(1)).alias("n"))
+
+
+@query("SELECT '- ' || n_name || ' (' || r_name || ')' AS line FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s32_report_lines(t):
+    path = files.scratch(t.spark) + "/report"
+    rows = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
+    files.report(rows, F.concat(lit("- "), "n_name", lit(" ("), "r_name", lit(")")), ["r_name", "n_name"], path)
+    return t.spark.read.text(path).select(c("value").alias("line"))
+
+
+@query("SELECT '% ' || count(*) || ' entries; do not edit, generate anew' AS line, 1 AS n FROM nation UNION ALL SELECT '@article{n' || n_nationkey || ',', 1 FROM nation UNION ALL SELECT '}', count(*) FROM nation")
+def s33_bibliography(t):
+    path = files.scratch(t.spark) + "/bib"
+    key = text_of("n", c("n_nationkey"))
+    files.bibliography(t.nation.select(key.alias("key"), T.plain_entry(key, c("n_name"), lit("A"), lit("2000"), lit("J")).alias("entry")), path)
+    lines = t.spark.read.text(path).where(c("value").rlike("^[%@}]"))
+    return lines.groupBy(c("value").alias("line")).agg(F.count(lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 <> 0 AS available, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS title FROM nation")
+def s36_unwrapped_article(t):
+    i = c("n_nationkey")
+    article = F.concat(lit("<article><front><article-title>"), "n_name", lit("</article-title></front><body><p>x</p></body></article>"))
+    raw = F.when(i % 4 == 0, "<pmc-articleset><article><front/></article></pmc-articleset>").when(i % 4 == 1, article).otherwise(F.concat(lit("<pmc-articleset>"), article, lit("</pmc-articleset>")))
+    got = t.nation.select("n_nationkey", U.whole_article(raw.cast("binary")).alias("x"))
+    return got.select("n_nationkey", c("x").isNotNull().alias("available"), F.when(c("x").isNotNull(), U.article_xml("x")["title"]).alias("title"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '10.1/p' || page_id END AS doi, CASE page_id % 3 WHEN 1 THEN 'First' WHEN 2 THEN '' END AS title FROM pages")
+def s41_title_search(t):
+    i = c("page_id")
+    hit = F.concat(lit('{"DOI":"10.1/p'), i.cast("string"), lit('","title":['), F.when(i % 3 == 1, '"First","Second"').otherwise(""), lit("]}"))
+    payload = F.concat(lit('{"message":{"items":['), F.when(i % 3 > 0, F.concat(hit, lit(',{"DOI":"other"}'))).otherwise(""), lit("]}}"))
+    return t.pages.select("page_id", landed.title_match(payload).alias("m")).select("page_id", "m.doi", "m.title")
+
+
+@query("SELECT lower(n_name) AS surname, year, row_number() OVER (ORDER BY lower(n_name), year) AS place FROM nation, (VALUES ('1999'), ('2003')) y(year)")
+def o07_citation_order(t):
+    rows = t.nation.select(F.lower("n_name").alias("surname"), F.explode(F.array(lit("2003"), lit("1999"))).alias("year"))
+    path = files.scratch(t.spark) + "/order"
+    files.report(rows, F.concat_ws("\t", "surname", "year"), ["surname", "year"], path)
+    # places by counts before each first letter: no window over all rows
+    read = t.spark.read.text(path).select(F.split("value", "\t").alias("v")).select(c("v")[0].alias("surname"), c("v")[1].alias("year"))
+    return triage.placed(read, [F.substr("surname", lit(1), lit(1))], ["surname", "year"])
+
+
+@query("SELECT o_custkey, count(*) AS n, 'One 1. Two 2. Three 3.' AS lead FROM orders GROUP BY 1")
+def o08_first_three_sentences(t):
+    x = t.orders.groupBy("o_custkey").agg(F.count(lit(1)).alias("n"))
+    return x.select("o_custkey", "n", T.first_sentences(lit("One 1.  Two 2. Three 3. Four 4. Five 5.")).alias("lead"))
+
+
+@query("SELECT o_custkey, least(count(*), 8) AS queries FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1")
+def o09_query_cap(t):
+    """Each plan repeats one two-word phrase for each order; the search takes at most eight."""
+    name = lambda k: F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    twice = F.transform(F.collect_set("o_orderkey"), lambda k: F.concat(lit("wave"), name(k), lit(" cell"), name(k), lit(" the wave"), name(k), lit(" cell"), name(k), lit(" of ")))
+    x = t.orders.groupBy("o_custkey").agg(F.array_join(twice, "").alias("plan"))
+    return discover.search_queries(x, "o_custkey", c("plan")).groupBy("o_custkey").agg(F.count(lit(1)).alias("queries"))

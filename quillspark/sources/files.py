@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,28 @@ AUTHOR_COLUMNS = ("tier", "replacement_doi", "note")
 META = "map<string,struct<year:int,first_author:string,journal:string,title:string,type:string,crossref_citations:bigint>>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder of ``spark.checkpoint.dir``, deleted when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset")
+        root = "file://" + tempfile.mkdtemp(prefix="quillspark-files-")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/files-{uuid.uuid4().hex}")
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(p)
+    store.deleteOnExit(p)
+    return str(p.toString())
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """One small file from the driver, such as a note or an export's readme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -66,17 +91,27 @@ def doi_lines(lines: DataFrame, value: str = "value", pos: str = "pos") -> DataF
     return rows.groupBy(F.lower("doi").alias("_k")).agg(F.min(F.struct(pos, "doi")).alias("_f")).select("_f.*")
 
 
+_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
+
+
 def read_triage(spark: SparkSession, path: str) -> DataFrame:
     """The triage table, all columns as text; a missing file is empty."""
     schema = ", ".join(f"{c} string" for c in TRIAGE)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.csv(path, sep="\t", header=True, schema=schema).na.fill("")
+    return spark.read.csv(path, schema=schema, **_TSV).na.fill("")
+
 
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """doi (lower case) and what its author decided in an earlier run; rows without a doi or any decision are left out."""
+    rows = read_triage(spark, path).select(F.lower(F.trim("doi")).alias("doi"), *(F.trim(c).alias(c) for c in AUTHOR_COLUMNS))
+    return rows.where((F.col("doi") != "") & (F.concat(*AUTHOR_COLUMNS) != ""))
 
-def write_triage(rows: DataFrame, path: str) -> None:
-    """One tab-separated file with a header, minimal quoting, LF ends; rows keep their order within the one partition."""
-    rows.select(*TRIAGE).coalesce(1).write.mode("overwrite").option("lineSep", "\n").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
+
+def write_triage(rows: DataFrame, path: str, order: list | None = None) -> None:
+    """One tab-separated file with a header, minimal quoting, LF ends, in the given order (else by tier, year and doi)."""
+    sorted_rows = rows.select(*TRIAGE).orderBy(*(order or ["tier", "year", "doi"]))
+    sorted_rows.coalesce(1).write.mode("overwrite").csv(path, lineSep="\n", emptyValue="", nullValue="", **_TSV)
 
 
 def markdown_rows(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -117,13 +152,13 @@ def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stems(spark: SparkSession, folder: str, ending: str, recursive: bool = False) -> DataFrame:
-    """File names of a folder without their ending."""
+    """File names of a folder without their ending. Spark's file sources pass over empty files, so those are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", recursive).load(folder)
     return files.select(F.expr(f"substr(_metadata.file_name, 1, length(_metadata.file_name) - {len(ending)})").alias("stem")).distinct()
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative) and content of all files below a folder."""
+    """path (relative) and content of all files below a folder, but for empty ones, which Spark's file sources pass over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
     return files.select(F.expr("regexp_replace(path, '^file:/*', '/')").alias("_p"), "content").select(F.substr("_p", F.length(base) + 2).alias("path"), "content")
@@ -150,6 +185,14 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", META)).alias("doi", "meta")).select("doi", F.when(F.col("meta.title").isNotNull() | F.col("meta.year").isNotNull(), F.col("meta")).alias("meta"))
 
 
+def write_cache(rows: DataFrame, path: str) -> None:
+    """One JSON document, keys sorted; a null meta is kept as a known miss. rows: doi, meta."""
+    entry = F.struct("doi", F.coalesce(F.to_json("meta"), F.lit("null")).alias("meta"))
+    pairs = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.to_json(F.array(e["doi"])), F.lit(":"), e["meta"]))
+    texts = F.transform(pairs, lambda p: F.regexp_replace(p, r'^\["(.*?)"\]:', r'"$1":'))
+    rows.agg(F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def log_rows(fetched: DataFrame, relinked: DataFrame, gaps: DataFrame, project: str) -> DataFrame:
     """project, kind, stem, detail of a run's three collections."""
     parts = [d.select(F.lit(project).alias("project"), F.lit(k).alias("kind"), "stem", "detail") for d, k in ((fetched, "fetched"), (relinked, "re-linked"), (gaps, "gap"))]
@@ -163,3 +206,10 @@ def append_log(rows: DataFrame, path: str) -> None:
 def report(rows: DataFrame, line: Column, order: list, path: str) -> None:
     """Lines of text in a given order, as one file (a report is small: one line per row shown)."""
     rows.orderBy(*order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def bibliography(entries: DataFrame, path: str) -> None:
+    """A head with the number of entries, then the entries (key, entry) by key, blank lines between, as one file."""
+    head = entries.agg(F.concat(F.lit("% "), F.count(F.lit(1)).cast("string"), F.lit(" entries; do not edit, generate anew\n")).alias("value")).select(F.lit(0).alias("_o"), F.lit("").alias("key"), "value")
+    rows = head.unionByName(entries.select(F.lit(1).alias("_o"), "key", F.concat("entry", F.lit("\n")).alias("value")))
+    rows.orderBy("_o", "key").select("value").coalesce(1).write.mode("overwrite").text(path)

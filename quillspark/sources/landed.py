@@ -65,3 +65,9 @@ def open_access_url(payload: Column) -> Column:
     """The best location's PDF address, else its address."""
     best = F.from_json(payload, "struct<best_oa_location:struct<url_for_pdf:string,url:string>>")["best_oa_location"]
     return F.coalesce(T.known(best["url_for_pdf"]), T.known(best["url"]))
+
+
+def title_match(payload: Column) -> Column:
+    """doi and first title of a title search's first hit; null without a hit."""
+    hit = F.get(F.from_json(payload, "struct<message:struct<items:array<struct<DOI:string,title:array<string>>>>>")["message"]["items"], F.lit(0))
+    return F.when(hit.isNotNull(), F.struct(T.or_empty(hit["DOI"]).alias("doi"), T.or_empty(F.get(hit["title"], F.lit(0))).alias("title")))
