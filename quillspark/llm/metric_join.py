@@ -301,8 +301,8 @@ class _Cell:
     def linked(self, x: int, rows: np.ndarray, common: np.ndarray) -> np.ndarray:
         return 100 * common >= self.percent * (self.size[x] + self.size[rows] - common)
 
-    def leaf(self, rows: np.ndarray) -> None:
-        """All pairs of different components, through the lists of sets that hold each shingle."""
+    def leaf(self, rows: np.ndarray, mark: np.ndarray) -> None:
+        """All pairs of different components, through the lists of sets that hold each shingle or, where fewer are left, set by set."""
         sizes = self.size[rows]
         flat = np.repeat(self.at[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         code, owner = self.code[flat], np.repeat(np.arange(len(rows)), sizes)
@@ -313,31 +313,50 @@ class _Cell:
         place = np.empty(len(code), np.int64)
         place[order] = np.repeat(np.arange(len(first)), ends - first)
         start = np.concatenate([[0], np.cumsum(sizes)])
+        part = np.array([self.root(int(r)) for r in rows], np.int64)
         for i in range(len(rows) - 1):
+            others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+            if not len(others):
+                continue
             lists = place[start[i] : start[i + 1]]
             lo, n = first[lists], ends[lists] - first[lists]
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.bincount(held[at], minlength=len(rows))
-            for j in i + 1 + np.flatnonzero(self.linked(rows[i], rows[i + 1 :], both[i + 1 :])):
-                self.link(int(rows[i]), int(rows[j]))
+            if sizes[others].sum() < n.sum():
+                both = self.common(int(rows[i]), rows[others], mark)
+            else:
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(held[at], minlength=len(rows))[others]
+            for j in others[self.linked(rows[i], rows[others], both)].tolist():
+                if part[j] != part[i]:
+                    self.link(int(rows[i]), int(rows[j]))
+                    part[part == part[j]] = part[i]
 
     def join(self, rows: np.ndarray, mark: np.ndarray) -> None:
-        if len(rows) < 2:
-            return
-        if len(rows) <= LEAF:
-            self.leaf(rows)
-            return
-        pivot, rest = int(rows[0]), rows[1:]
-        common = self.common(pivot, rest, mark)
-        for j in np.flatnonzero(self.linked(pivot, rest, common)):
-            self.link(pivot, int(rest[j]))
-        ring = np.floor((1 - common / (self.size[pivot] + self.size[rest] - common) + 1e-9) / self.width).astype(np.int64)
-        for k in np.unique(ring):
-            part = rest[(ring == k) | (ring == k + 1)]
-            if len(part) > 0.9 * len(rows):
-                self.leaf(part)
+        """All links of rows: those of a pivot first; its linked members then meet only others near enough to it, not each other."""
+        work = [rows]
+        while work:
+            rows = work.pop()
+            if len(rows) <= LEAF:
+                if len(rows) > 1:
+                    self.leaf(rows, mark)
+                continue
+            pivot, rest = int(rows[0]), rows[1:]
+            common = self.common(pivot, rest, mark)
+            far = 1 - common / (self.size[pivot] + self.size[rest] - common)
+            near = self.linked(pivot, rest, common)
+            for j in rest[near].tolist():
+                self.link(pivot, j)
+            star, star_far, others, far = rest[near], far[near], rest[~near], far[~near]
+            for y, d in zip(others.tolist(), far.tolist()):
+                if d <= 2 * self.width + 1e-9 and self.root(y) != self.root(pivot):
+                    meet = star[star_far >= d - self.width - 1e-9]
+                    if len(meet) and self.linked(y, meet, self.common(y, meet, mark)).any():
+                        self.link(pivot, y)
+            ring = np.floor(far / self.width + 1e-9).astype(np.int64)
+            parts = [others[(ring == k) | (ring == k + 1)] for k in np.unique(ring).tolist()]
+            if parts and max(map(len, parts)) > 0.9 * len(rows):
+                self.leaf(others, mark)
             else:
-                self.join(part, mark)
+                work += parts
 
 
 def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:

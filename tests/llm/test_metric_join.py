@@ -73,18 +73,47 @@ def test_split_cells_are_exact(spark, monkeypatch):
     assert sorted(tuple(r) for r in M.groups(docs, 2, 70).collect()) == brute(rows, 2, 70)
 
 
-def test_recursive_join_of_a_cell():
+def joined(sets, percent):
+    import numpy as np
+
+    cell = M._Cell(sets, percent)
+    cell.join(np.arange(len(sets)), np.zeros(int(cell.code.max()) + 1, bool))
+    return [cell.root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_recursive_join_of_a_cell(monkeypatch, percent):
     import numpy as np
 
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 60, 60, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([rnd.permutation(base)[: rnd.integers(35, 60)], rnd.integers(0, 1 << 60, rnd.integers(1, 6), dtype=np.uint64)])) for _ in range(700)]
-    cell = M._Cell(sets, 80)
-    cell.join(np.arange(len(sets)), np.zeros(int(cell.code.max()) + 1, bool))
-    flat = M._Cell(sets, 80)
-    flat.leaf(np.arange(len(sets)))
-    assert [cell.root(i) for i in range(len(sets))] == [flat.root(i) for i in range(len(sets))]
-    assert 1 < len({cell.root(i) for i in range(len(sets))}) < len(sets)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[: rnd.integers(35, 60)], rnd.integers(0, 1 << 60, rnd.integers(1, 6), dtype=np.uint64)])) for _ in range(300)]
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n) and parent[i] != parent[j]:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if x == high else x for x in parent]
+    for leaf in (5, 40, 10**6):
+        monkeypatch.setattr(M, "LEAF", leaf)
+        assert joined(sets, percent) == parent
+
+
+def test_near_copies_in_one_cell_cost_about_their_number():
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 60, 300, dtype=np.uint64)
+    took = []
+    for n in (1000, 4000):
+        sets = [np.unique(np.concatenate([rnd.permutation(base)[:290], rnd.integers(0, 1 << 60, 5, dtype=np.uint64)])) for _ in range(n)]
+        start = time.process_time()
+        assert set(joined(sets, 85)) == {0}
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 1
 
 
 def test_frequent_shingles_change_nothing(spark, monkeypatch):
