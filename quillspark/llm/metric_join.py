@@ -14,9 +14,15 @@ smallest hash, so that the many seeds of one group of copies mostly lead to one
 recursively: the exact distance of all members to a pivot links those within the radius; by the triangle inequality two
 members can only be linked if their distances to the pivot differ by at most the radius, so members fall into rings of
 that width (the regions of the next level) and are replicated into the next ring, where the neighbours beyond the boundary are. Rings are
-split around pivots of their own until they are small or no longer shrink, then joined exactly. Cells of
-more than CELL members are first split over pivots of their own: every member goes to the Voronoi region of its nearest pivot and, as its
-neighbours may be there, to all regions whose pivot is at most twice the radius further.
+split around pivots of their own until they are small or no longer shrink, then joined exactly.
+
+One task gathers no cell of more than CELL members or CELL_BYTES of text. Such a cell is narrowed by distributed rounds: its
+members, in parts, are measured against PIVOTS pivots, and those linked to a pivot, or to one that shares a member with
+it, get one label. Where it spares work, every member goes to the Voronoi region of its nearest pivot and, as its
+neighbours may be there, to all regions whose pivot is at most twice the radius further; else the cell stays as it is and has
+other pivots in the next round. What has one label is finished. What is still wide after ROUNDS rounds is joined in
+blocks: members outside its largest label meet all members, those within it need not meet each other. That is exact
+too, and linear for copies around a centre; many members that no label holds cost their square, in bounded tasks.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing. Rows that share a
 doc_id are one document that has the links of all its rows. A null doc_id has a null component.
@@ -24,13 +30,15 @@ doc_id are one document that has the links of all its rows. A null doc_id has a
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import staged, tidied, tune, unstage, width
+from .common import salted_join, staged, tidied, tune, unstage, width
 from .graph import components
 from .repeats import _as_table, _chunks, _column
 
@@ -41,6 +49,8 @@ WORD_LEAST, WORDS_MOST = 20, 100_000
 #: Regions of up to SMALL members are joined by pairs. Cells of more than CELL members are split over pivots.
 #: Within a cell, parts of up to LEAF members are joined without another pivot.
 SMALL, CELL, LEAF = 16, 6000, 200
+#: So do cells of more than CELL_BYTES of text. They meet PIVOTS pivots at a time, for at most ROUNDS rounds.
+CELL_BYTES, PIVOTS, ROUNDS = 64 << 20, 16, 4
 
 
 def _sets(words: K.Words, h: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -360,12 +370,15 @@ class _Cell:
 
 
 def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) within cells (p, x, _text)."""
+    """Links (a, b) within cells (p, x, c, _text); members of equal labels c are connected already."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(_column(t, "x").to_numpy(zero_copy_only=False), kind="stable")))
         ids = _column(t, "x").to_numpy(zero_copy_only=False)
         cell = _Cell([u for _, _, sets in _text_sets(t, k) for u, _ in sets], percent)
+        _, first, label = np.unique(_column(t, "c").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        for i, j in zip(first[label].tolist(), range(len(ids))):
+            cell.link(i, j)
         cell.join(np.arange(len(ids)), np.zeros(int(cell.code.max(initial=0)) + 1, bool))
         root = np.array([cell.root(i) for i in range(len(ids))], np.int64)
         off = np.flatnonzero(root != np.arange(len(ids)))
@@ -409,21 +422,120 @@ def _worth(cells: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return seeds.groupBy("p").applyInArrow(run, "p bigint, x bigint").unionByName(cells.join(wide, "p"))
 
 
-def _split(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """cells (p, x) with those of more than CELL members dealt to Voronoi regions of pivots of their own."""
-    size = cells.groupBy("p").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > CELL)
-    if size.isEmpty():
-        return cells
-    wide = staged(cells.join(size, "p"), "wide")
-    # members by hash: about two pivots for each CELL members
-    chosen = wide.where(F.pmod(F.xxhash64("x", F.lit(7)), F.floor(F.lit(CELL) / 2)) == 0).select("p", F.col("x").alias("q"))
-    pairs = wide.join(chosen, "p").select("p", "x", "q")
-    dist = measured(pairs.select(F.col("q").alias("a"), F.col("x").alias("b")).distinct(), texts, k)
-    far = staged(pairs.join(dist.select(F.col("a").alias("q"), F.col("b").alias("x"), (1 - F.col("common") / F.col("either")).alias("d")), ["q", "x"]), "far")
-    near = far.groupBy("p", "x").agg(F.min("d").alias("_near"))
-    inner = far.join(near, ["p", "x"]).where(F.col("d") <= F.col("_near") + 2 * (1 - percent / 100) + 1e-9).select(F.xxhash64("p", "q").alias("p"), "x")
-    whole = wide.join(chosen.select("p").distinct(), "p", "left_anti").select("p", "x")
-    return cells.join(size, "p", "left_anti").unionByName(inner).unionByName(whole)
+def _wide(size: DataFrame) -> DataFrame:
+    return size.where((F.col("_m") > CELL) | (F.col("_s") > CELL_BYTES))
+
+
+def _sized(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """p, _m members, _s bytes of text, _one: whether all of them have one label."""
+    return live.join(texts.select("x", "_b"), "x").groupBy("p").agg(F.count(F.lit(1)).alias("_m"), F.sum("_b").alias("_s"), (F.min("c") == F.max("c")).alias("_one"))
+
+
+def _shares(members: str, size: str) -> Column:
+    """So many parts of half a cell at most hold that many members and bytes."""
+    return F.ceil(F.greatest(2 * F.col(members) / CELL, 2 * F.col(size) / CELL_BYTES, F.lit(1))).cast("bigint")
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    """The least label that each label (columns a, b: of connected ones) leads to, for one cell."""
+    least: dict = {}
+
+    def root(v: int) -> int:
+        while least.setdefault(v, v) != v:
+            v = least[v]
+        return v
+
+    for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    names = pa.MapArray.from_arrays(pa.array([0, len(least)], pa.int32()), pa.array(list(least), pa.int64()), pa.array([root(v) for v in list(least)], pa.int64()))
+    return pa.table({"p": t.column("p").slice(0, 1), "_names": names})
+
+
+def _measured_pivots(wide: DataFrame, texts: DataFrame, k: int, percent: int, turn: int) -> DataFrame:
+    """Members (p, x, c, _k, _salt) with the pivots q of their cell, the distances d and the pivots linked to them.
+
+    Half of the pivots have the least distance to the pivots before, the others come from what has no label yet.
+    Members meet copies of the pivots in parts of half a cell.
+    """
+
+    many = pa.list_(pa.int64())
+    none = pa.schema([*((c, pa.int64()) for c in ("p", "x", "c", "_k", "_salt")), ("q", many), ("d", pa.list_(pa.float64())), ("star", many)]).empty_table()
+
+    def run(t: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return none
+        pivots = pivots.select(["pivot", "_pivot"]).rename_columns(["x", "_text"]).sort_by("x")
+        q = _column(pivots, "x").to_numpy(zero_copy_only=False)
+        cell = _Cell([u for part in (pivots, t) for _, _, sets in _text_sets(part.combine_chunks(), k) for u, _ in sets], percent)
+        rows, mark = np.arange(len(q), len(cell.sets)), np.zeros(int(cell.code.max(initial=0)) + 1, bool)
+        common = np.stack([cell.common(i, rows, mark) for i in range(len(q))], axis=1)
+        either = cell.size[: len(q)] + cell.size[rows][:, None] - common
+        near = 100 * common >= percent * either
+        lists = lambda v, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+        every = np.full(len(rows), len(q))
+        star = lists(np.broadcast_to(q, near.shape)[near], near.sum(axis=1))
+        return pa.table([*(t.column(c) for c in ("p", "x", "c", "_k", "_salt")), lists(np.tile(q, len(rows)), every), lists((1 - common / either).ravel(), every), star], names=["p", "x", "c", "_k", "_salt", "q", "d", "star"])
+
+    first = Window.partitionBy("p").orderBy("r", F.xxhash64("x", F.lit(2 * turn)))
+    other = Window.partitionBy("p").orderBy(F.col("c") != F.col("x"), F.xxhash64("x", F.lit(2 * turn + 1)))
+    top = lambda w: wide.select("p", "x", "_k", F.row_number().over(w).alias("_n")).where(F.col("_n") <= PIVOTS // 2).select("p", "x", "_k")
+    member = wide.withColumn("_salt", F.pmod(F.xxhash64("x", F.lit(3)), F.col("_k"))).join(texts.select("x", "_text"), "x")
+    copies = top(first).union(top(other)).distinct().join(texts.select("x", "_text"), "x").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
+    met = member.select("p", "x", "c", "_k", "_salt", "_text").groupBy("p", "_salt").cogroup(copies.select(F.col("p").alias("cell"), F.col("_salt").alias("part"), F.col("x").alias("pivot"), F.col("_text").alias("_pivot")).groupBy("cell", "part"))
+    return met.applyInArrow(run, "p bigint, x bigint, c bigint, _k bigint, _salt bigint, q array<bigint>, d array<double>, star array<bigint>")
+
+
+def _labelled(far: DataFrame, radius: float) -> DataFrame:
+    """Members of the next round (p, x, c, r): labels joined through the pivots, cells split where that spares members."""
+    parts = F.filter(F.arrays_zip("q", "d"), lambda v: v["d"] <= F.array_min("d") + 2 * radius + 1e-9)
+    star = far.where(F.size("star") > 0).withColumn("a", F.col("star")[0])
+    pairs = star.select("p", "a", F.explode("star").alias("b")).union(star.where("c <> x").select("p", "a", F.col("c").alias("b"))).distinct()
+    names = pairs.groupBy("p").applyInArrow(_merge, "p bigint, _names map<bigint,bigint>")
+    about = far.groupBy("p").agg(F.max("_k").alias("_k"), (2 * F.sum(F.size(parts)) <= 3 * F.count(F.lit(1))).alias("_split")).join(names, "p")
+    about = about.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
+    c = F.when(F.size("star") > 0, F.col("star")[0]).otherwise(F.col("c"))
+    named = far.join(about, ["p", "_salt"]).withColumn("c", F.coalesce(F.try_element_at("_names", c), c)).withColumn("r", F.aggregate("d", F.lit(0.0), lambda s, v: s + v))
+    # a region of each pivot that is not more than twice the radius further than the nearest, or the cell as it is
+    to = F.when(F.col("_split"), F.transform(parts, lambda v: F.xxhash64("p", v["q"]))).otherwise(F.array("p"))
+    return named.select(F.explode(to).alias("p"), "x", "c", "r")
+
+
+def _blocks(wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """Cells (p, x, c) of bounded size in which every member outside the largest label of its cell meets all others."""
+    count = wide.groupBy("p", "c").agg(F.count(F.lit(1)).alias("_n"))
+    main = count.groupBy("p").agg(F.max_by("c", F.struct("_n", "c")).alias("_main"), F.sum("_n").alias("_m"))
+    rows = staged(salted_join(wide.select("p", "x", "c", "_k"), main, ["p"], "_m").join(texts.select("x", "_b"), "x"), "blocks")
+    others = rows.where("c <> _main").groupBy("p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_s"), F.max("_m").alias("_m"))
+    rows = salted_join(rows.drop("_m"), others.select("p", "_m", _shares("_n", "_s").alias("_o")), ["p"], "_m").where("_o is not null")
+    at = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    all_of = rows.select("p", "x", "c", F.explode(upto("_o")).alias("i"), at("_k", 5).alias("j"))
+    other = rows.where("c <> _main").select("p", "x", "c", at("_o", 4).alias("i"), F.explode(upto("_k")).alias("j"))
+    return all_of.union(other).distinct().select(F.xxhash64("p", "i", "j").alias("p"), "x", "c")
+
+
+def _narrow(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(cells (p, x, c) of bounded members and bytes, tables of links (a, b) found on the way). Equal labels c are connected."""
+    live = cells.select("p", "x", F.col("x").alias("c"), F.lit(0.0).alias("r"))
+    if _wide(_sized(live, texts)).isEmpty():
+        return live.select("p", "x", "c"), []
+    done, edges = [], []
+    for turn in range(ROUNDS + 1):
+        size = _sized(live, texts).where("_m > 1 and not _one")
+        sized = staged(salted_join(live, size.withColumn("_k", _shares("_m", "_s")), ["p"], "_m").where("_m is not null"), "sized")
+        wide = _wide(sized)
+        done.append(sized.join(wide.select("x", "p"), ["x", "p"], "left_anti").select("p", "x", "c"))
+        if wide.isEmpty():
+            break
+        if turn == ROUNDS:
+            done.append(_blocks(wide, texts))
+            break
+        far = staged(_measured_pivots(wide, texts, k, percent, turn), "far")
+        edges.append(staged(far.select(F.explode("star").alias("a"), F.col("x").alias("b")).where("a <> b"), "edges"))
+        live = staged(_labelled(far, 1 - percent / 100), "live")
+        unstage(far)
+    return functools.reduce(DataFrame.unionByName, done), edges
 
 
 def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -447,10 +559,12 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     cells = staged(_worth(every, own, percent).distinct(), "cells")
     unstage(region, every, own)
     members = direct.select(F.col("a").alias("x")).union(direct.select("b")).union(cells.select("x")).distinct()
-    texts = staged(docs.select(F.col("doc_id").alias("x"), "_text").join(members.hint("shuffle_hash"), "x"), "texts")
+    texts = staged(docs.select(F.col("doc_id").alias("x"), "_text", F.octet_length("_text").cast("bigint").alias("_b")).join(members.hint("shuffle_hash"), "x"), "texts")
     edges = staged(measured(direct, texts, k).where(_linked(percent)).select("a", "b"), "edges")
-    inner = staged(cell_links(_split(cells, texts, k, percent).join(texts, "x").select("p", "x", "_text"), k, percent), "edges")
+    narrow, found = _narrow(cells, texts, k, percent)
+    inner = staged(cell_links(narrow.join(texts, "x").select("p", "x", "c", "_text"), k, percent), "edges")
     unstage(direct, cells, texts)
+    inner = functools.reduce(DataFrame.union, found, inner)
     return sign.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left"), edges.union(inner).distinct()
 
 

@@ -65,14 +65,40 @@ def test_cells_alone_are_exact(spark, monkeypatch):
     assert sorted(tuple(r) for r in M.groups(docs, 4, 85).collect()) == brute(rows, 4, 85)
 
 
-def test_split_cells_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("cell,size,rounds", [(10, 1 << 20, 4), (10, 1 << 20, 0), (1000, 3000, 2)])
+def test_wide_cells_are_exact(spark, monkeypatch, cell, size, rounds):
     monkeypatch.setattr(M, "SMALL", 1)
-    monkeypatch.setattr(M, "CELL", 10)
+    monkeypatch.setattr(M, "CELL", cell)
+    monkeypatch.setattr(M, "CELL_BYTES", size)
+    monkeypatch.setattr(M, "ROUNDS", rounds)
     rows = corpus(10)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in M.groups(docs, 2, 70).collect()) == brute(rows, 2, 70)
 
 
+def test_near_copies_in_a_wide_cell_stay_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELL", 100)
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            w[rnd.randrange(200)] = f"n{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    real = M.cell_links
+
+    def seen(cells, k, percent):
+        sizes.extend(r["count"] for r in cells.groupBy("p").count().collect())
+        return real(cells, k, percent)
+
+    monkeypatch.setattr(M, "cell_links", seen)
+    assert sorted(tuple(r) for r in M.groups(docs, 4, 85).collect()) == brute(rows, 4, 85)
+    assert sum(sizes) < 20 * 600 and max(sizes, default=0) <= 150
+
+
 def joined(sets, percent):
     import numpy as np
 
