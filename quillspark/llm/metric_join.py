@@ -388,7 +388,7 @@ def cell_links(cells: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _worth(cells: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """cells (p, x) without the members that share too few seeds with every other member. Cells above CELL stay whole."""
+    """cells (p, x) without the members that share too few seeds with every other member. Cells above CELL, or of too many shingles, stay whole."""
 
     def run(t: pa.Table) -> pa.Table:
         lists = _column(t, "_prefix")
@@ -416,8 +416,8 @@ def _worth(cells: DataFrame, own: DataFrame, percent: int) -> DataFrame:
             keep[i] = may.any()
         return t.select(["p", "x"]).filter(pa.array(keep))
 
-    size = cells.groupBy("p").agg(F.count(F.lit(1)).alias("_m"))
-    wide = size.where(F.col("_m") > CELL).select("p")
+    size = cells.join(own.select("x", "n"), "x").groupBy("p").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
+    wide = size.where((F.col("_m") > CELL) | (F.col("_n") > CELL_BYTES // 8)).select("p")
     seeds = cells.join(wide, "p", "left_anti").join(own.select("x", "n", "_prefix"), "x").select("p", "x", "n", "_prefix")
     return seeds.groupBy("p").applyInArrow(run, "p bigint, x bigint").unionByName(cells.join(wide, "p"))
 
