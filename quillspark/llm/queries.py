@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_anchors, bpe_pieces, decontamination, legacy_archive, license_scan, metric_join, quality_gam, quality_rules, run_index, site_style
+from . import block_anchors, bpe_pieces, decontamination, language_id, legacy_archive, license_scan, merkle_manifest, metric_join, quality_gam, quality_rules, run_index, site_style, whitening
 from .common import table
 
 
@@ -54,7 +54,19 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_legacy_archives, op9_substring_dedup, op10_piece_encoding, quality_rules_ablation)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.query(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_legacy_archives, op9_substring_dedup, op10_piece_encoding, op11_merkle_manifest, op12_language_id, op13_embedding_whitening, quality_rules_ablation)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,6 +91,7 @@ b AS (
     + 64 * (n_alpha >= 50 AND 100 * n_upper > 70 * n_alpha)::INT AS failed_bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits FROM b""",
+    "op11_merkle_manifest": merkle_manifest.oracle(),
     "op8_legacy_archives": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
