@@ -5,19 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.ranking import places
 
-def coupling(cites: DataFrame, least: int = 2, hot: int = 1_000) -> DataFrame:
-    """a, b and shared for pairs of papers that cite at least ``least`` works in common.
 
-    An equi-join on the cited work with a < b. Both sides carry salts for works cited by more than ``hot``
-    papers, so one famous work is joined by many tasks.
+#: Papers with more shared works than this don't carry their list of works along; their pairs are counted one work at a time.
+LONG = 64
+
+
+def coupling(cites: DataFrame, least: int = 2, hot: int = 1_000, long: int = LONG) -> DataFrame:
+    """a, b and shared for pairs of papers (a < b) that cite at least ``least`` works in common.
+
+    An overlap prefix join. A paper's works are ordered from the least to the most cited; papers with ``least`` works in common
+    share one that is not among the last ``least`` - 1 of either. So those last ones seed no pair, and no work that only one paper cites does. A paper
+    brings the rest of its list behind each seed, so that a pair is counted exactly where it is met and only
+    pairs that hold leave the join: the one met at its first common work has the whole count. Papers of more than ``long`` works
+    are joined to all others on single works and counted by a shuffle instead.
+
+    Both sides carry salts for works cited by more than ``hot`` papers, so one famous work is joined by many tasks.
+    """
+    live, lists = _lists(cites, least, long)
+    seeds = lists.select("stem", "_l", F.posexplode(F.slice("_l", F.lit(1), F.size("_l") - (least - 1))).alias("_at", "_e"))
+    rest = F.transform(F.slice("_l", F.col("_at") + 2, F.size("_l")), lambda e: e["cited"])
+    met = _meet(seeds.select("stem", F.col("_e.cited").alias("cited"), F.col("_e._d").alias("_d"), rest.alias("_r")), None, hot).where("a < b")
+    found = met.select("a", "b", (F.size(F.array_intersect("_ra", "_rb")) + 1).cast("bigint").alias("shared")).where(F.col("shared") >= least)
+    some = found.groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    hubs = live.where(F.col("_s") > long)
+    one = _meet(hubs.withColumn("_r", F.lit(None)), live.withColumn("_r", F.col("_s") > long), hot).where("a <> b and (not _rb or a < b)")
+    more = one.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    return some.unionByName(more)
+
+
+def _lists(cites: DataFrame, least: int, long: int) -> tuple[DataFrame, DataFrame]:
+    """(stem, cited, _d papers that cite it, _s works of the stem), and stems of at most ``long`` works with these from the least cited on.
+
+    Works that one paper alone cites are left out, then papers of fewer than ``least`` works.
     """
     edges = cites.select("stem", "cited").where("stem is not null and cited is not null").distinct()
     degree = edges.groupBy("cited").agg(F.count(F.lit(1)).alias("_d")).where("_d > 1")
-    salted = edges.join(degree, "cited").withColumn("_n", F.ceil(F.col("_d") / hot).cast("int"))
-    left = salted.select("cited", F.col("stem").alias("a"), F.pmod(F.xxhash64("stem"), F.col("_n")).cast("int").alias("_salt"))
-    right = salted.select("cited", F.col("stem").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
-    return left.join(right, ["cited", "_salt"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    live = edges.join(degree, "cited").withColumn("_s", F.count(F.lit(1)).over(Window.partitionBy("stem"))).where(F.col("_s") >= least)
+    kept = live.where(F.col("_s") <= long).groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("_d", "cited"))).alias("_l"))
+    return live, kept
+
+
+def _meet(left: DataFrame, right: DataFrame | None, hot: int) -> DataFrame:
+    """a, _ra, b, _rb of the rows (stem, cited, _d, _r) that share a cited work."""
+    salts = F.ceil(F.col("_d") / hot).cast("int")
+    x = left.select("cited", F.col("stem").alias("a"), F.col("_r").alias("_ra"), F.pmod(F.xxhash64("stem"), salts).cast("int").alias("_salt"))
+    y = (left if right is None else right).select("cited", F.col("stem").alias("b"), F.col("_r").alias("_rb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    return x.join(y, ["cited", "_salt"])
 
 
 def labelled(pairs: DataFrame, cites: DataFrame, own: DataFrame) -> DataFrame:
@@ -39,6 +74,11 @@ def neighbours(seeds: DataFrame, cites: DataFrame) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
+def ranked(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """Every row with its ``rank`` in its group; no task needs a whole group. order: columns, or (column, True) for falling order."""
+    return places(rows, order, group, "rank")
+
+
 def top(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)

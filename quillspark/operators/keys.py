@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ranking import places
 
 
 def suffixed(base: Column, number: Column) -> Column:
@@ -14,16 +15,19 @@ def suffixed(base: Column, number: Column) -> Column:
 
 
 def assign_keys(papers: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """Adds ``key``: the base made unique, in the given order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return papers.withColumn("key", suffixed(F.col(base), n))
+    """Adds ``key``: the base made unique, in the given order. A base of any number of papers is numbered by many tasks."""
+    return places(papers, order, [base], "_n").withColumn("key", suffixed(F.col(base), F.col("_n"))).drop("_n")
 
 
 def resolve_identifiers(records: DataFrame, identifiers: DataFrame, ids: tuple[str, ...] = ("doi", "pmid", "pmcid")) -> DataFrame:
-    """Left join to identifiers(id, stem) by the first of ``ids`` that is known there."""
-    out = records
+    """Left join to identifiers(id, stem and perhaps pos) by the first of ``ids`` that is known there.
+
+    Of several rows of one id the last counts (without pos: the one with the largest stem), so a record stays one row.
+    """
+    out, last = records, F.col("pos") if "pos" in identifiers.columns else F.col("stem")
+    one = identifiers.where(T.known(F.col("id")).isNotNull()).groupBy("id").agg(F.max_by("stem", last).alias("stem"))
     for k, c in enumerate(ids):
-        known = identifiers.select(T.known(F.col("id")).alias(f"_id{k}"), F.col("stem").alias(f"_s{k}"))
+        known = one.select(F.col("id").alias(f"_id{k}"), F.col("stem").alias(f"_s{k}"))
         out = out.join(known, T.known(F.col(c)) == F.col(f"_id{k}"), "left")
     return out.withColumn("stem", F.coalesce(*[f"_s{k}" for k in range(len(ids))])).drop(*[x for k in range(len(ids)) for x in (f"_id{k}", f"_s{k}")])
 

@@ -53,12 +53,14 @@ def merge_citations(intext: DataFrame, reflist: DataFrame) -> DataFrame:
 def match_citations(citations: DataFrame, stems: DataFrame, dois: DataFrame) -> DataFrame:
     """citations with status, stem, method and note.
 
-    citations: surname, year, doi, title and perhaps key. stems: stem, surname, year, title. dois: doi, stem.
+    citations: surname, year, doi, title and perhaps key. stems: stem, surname, year, title. dois: doi, stem and perhaps pos;
+    of several rows of one doi the last counts (without pos: the one with the largest stem).
     A key that is a stem wins, then the DOI, then the only paper of the author and year (unless the titles share no word).
     """
     c = citations if "key" in citations.columns else citations.withColumn("key", F.lit(None).cast("string"))
     by_key = stems.select(F.col("stem").alias("key"), F.col("stem").alias("_k")).distinct()
-    by_doi = dois.select(F.col("doi").alias("_doi"), F.col("stem").alias("_d"))
+    last = F.col("pos") if "pos" in dois.columns else F.col("stem")
+    by_doi = dois.groupBy(F.col("doi").alias("_doi")).agg(F.max_by("stem", last).alias("_d"))
     by_name = stems.groupBy("surname", "year").agg(F.array_sort(F.collect_set("stem")).alias("_s"), F.max("title").alias("_t"))
     x = c.join(by_key, "key", "left").join(by_doi, T.known(T.doi_without_dots(F.col("doi"))) == F.col("_doi"), "left").join(by_name, ["surname", "year"], "left")
     n = F.coalesce(F.size("_s"), F.lit(0))

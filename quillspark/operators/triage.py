@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ranking import carried, places
 
 
 def as_of(mentions: DataFrame, headings: DataFrame, by: list[str], order: list[str], value: str, ties: bool = True) -> DataFrame:
     """mentions with the ``value`` of the last heading at or before them (ties=False: strictly before), per ``by`` group.
 
-    One union and one window: no pair of a mention and a heading is built.
+    One union and one segmented scan: no pair of a mention and a heading is built, and a group of any size is shared out.
     """
     h = headings.select(*by, *order, F.col(value).alias("_v"), F.lit(0 if ties else 1).alias("_side"), F.lit(None).alias("_row"))
     m = mentions.select(*by, *order, F.lit(None).cast(headings.schema[value].dataType).alias("_v"), F.lit(1 if ties else 0).alias("_side"), F.struct(*mentions.columns).alias("_row"))
-    w = Window.partitionBy(*by).orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = m.unionByName(h.withColumn("_row", F.lit(None).cast(m.schema["_row"].dataType)))
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", value)
+    return carried(both, F.col("_v"), [*order, "_side"], by, value).where("_row is not null").select("_row.*", value)
 
 
 def near(references: DataFrame, mentions: DataFrame, name: str, year: str, slack: int = 1) -> DataFrame:
@@ -62,20 +62,9 @@ def worklist(rows: DataFrame) -> DataFrame:
     """
     rank = F.when(F.col("tier") == "record", 0).when(F.col("tier") == "seminal", 1).when(F.col("tier") == "replace", 2).when(F.col("tier") == "current", 3).otherwise(9)
     need = rows.where((T.or_empty(F.col("tier")) != "") & (F.col("tier") != "cut") & ~F.coalesce("have", F.lit(False))).withColumn("tier_rank", rank)
-    year = F.coalesce(T.known(F.col("year")), F.lit("0"))
-    return need.withColumn("number", F.row_number().over(Window.partitionBy("tier").orderBy(year, "author", "id")))
+    return places(need, [*worklist_order()], ["tier"], "number")
 
 
-def placed(rows: DataFrame, groups: list[Column], within: list[str | Column]) -> DataFrame:
-    """Every row with its ``place`` (from 1) in the order of ``groups``, then ``within``.
-
-    Rows are numbered within their group and moved on by the sizes of the groups before it: only the
-    groups' sizes pass through one task, not the rows.
-    """
-    x = rows.withColumn("_group", F.struct(*[g.alias(f"g{k}") for k, g in enumerate(groups)]))
-    before = F.sum("_size").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = x.groupBy(F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.select("_of", F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_group").orderBy(*within))
-    out = x.withColumn("_number", number).join(sizes, F.col("_group").eqNullSafe(F.col("_of")))
-    return out.select(*rows.columns, (F.col("_before") + F.col("_number")).alias("place"))
+def worklist_order() -> list[str | Column]:
+    """The order within a tier."""
+    return [F.coalesce(T.known(F.col("year")), F.lit("0")), "author", "id"]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
+from quillspark.operators.ranking import places
+from quillspark.shipping import ship
+from quillspark.staging import scratch, staged
 
 ENTRY = "struct<title:string,doi:string,pmid:string,pmcid:string,year:string,authors:string,source_of_fulltext:string,files:array<string>,projects:array<string>,fetched_at:string,cited_dois:array<string>,refs_source:string,role:string>"
 MANIFEST = f"by_id map<string,string>, entries map<string,{ENTRY}>"
@@ -18,20 +21,6 @@ AUTHOR_COLUMNS = ("tier", "replacement_doi", "note")
 META = "map<string,struct<year:int,first_author:string,journal:string,title:string,type:string,crossref_citations:bigint>>"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of ``spark.checkpoint.dir``, deleted when the driver's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset")
-        root = "file://" + tempfile.mkdtemp(prefix="quillspark-files-")
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/files-{uuid.uuid4().hex}")
-    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.mkdirs(p)
-    store.deleteOnExit(p)
-    return str(p.toString())
-
-
 def put(spark: SparkSession, path: str, text: str) -> None:
     """One small file from the driver, such as a note or an export's readme."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,25 +45,66 @@ def manifest_tables(raw: DataFrame, value: str = "value") -> tuple[DataFrame, Da
     return ids, papers
 
 
+_MANIFEST_HEAD, _MANIFEST_MIDDLE, _MANIFEST_TAIL = '{"by_id":{', '},"entries":{', "}}"
+
+
 def read_manifest(spark: SparkSession, path: str, missing_ok: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The ledger's tables; a missing file is an empty ledger, or an error if that is not allowed."""
+    """The ledger's tables; a missing file is an empty ledger, or an error if that is not allowed.
+
+    A ledger of :func:`write_manifest` is read line by line, by many tasks; one of another writer is one JSON document, read whole.
+    """
     if not exists(spark, path):
         if not missing_ok:
             raise FileNotFoundError(path)
         return manifest_tables(spark.createDataFrame([("{}",)], "value string"))
-    return manifest_tables(spark.read.text(path, wholetext=True))
+    lines = spark.read.text(path)
+    if not lines.where(F.col("value") == _MANIFEST_HEAD).limit(1).count():
+        return manifest_tables(spark.read.text(path, wholetext=True))
+    entry = F.concat(F.lit("{"), F.ltrim("value", F.lit(",")), F.lit("}"))
+    rows = lines.where(~F.col("value").isin(_MANIFEST_HEAD, _MANIFEST_MIDDLE, _MANIFEST_TAIL)).select(entry.alias("v"), F.col("value").rlike(r'^,?"(?:[^"\\]|\\.)*":\{').alias("paper"))
+    ids = rows.where("not paper").select(F.explode(F.from_json("v", "map<string,string>")).alias("id", "stem"))
+    papers = rows.where("paper").select(F.explode(F.from_json("v", f"map<string,{ENTRY}>")).alias("stem", "_e")).select("stem", "_e.*")
+    return ids, papers
 
 
-def manifest_json(ids: DataFrame, papers: DataFrame) -> DataFrame:
-    """One row with the ledger's JSON, keys sorted. A ledger is one document by format."""
-    by_id = ids.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "stem")))).alias("by_id"))
-    fields = [c for c in papers.columns if c != "stem"]
-    entries = papers.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("stem"), F.struct(*fields))), lambda a, b: F.when(a["stem"] < b["stem"], -1).otherwise(1))).alias("entries"))
-    return by_id.crossJoin(entries).select(F.to_json(F.struct("by_id", "entries")).alias("value"))  # 1 row by 1 row
+def _key(c: Column | str) -> Column:
+    """A string as JSON."""
+    text = F.to_json(F.array(c))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _entries(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """_k and line: a line for each key, with a comma in front of all but the first. Of rows of one key the largest value counts."""
+    one = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(value).alias("_v"))
+    first = one.agg(F.min("_k")).first()[0]
+    return one.select("_k", F.concat(F.when(F.col("_k") == F.lit(first), "").otherwise(","), _key("_k"), F.lit(":"), F.coalesce("_v", F.lit("null"))).alias("line"))
+
+
+def write_document(parts: list[str | DataFrame], path: str, spark: SparkSession) -> None:
+    """One text document as files that follow each other in name order.
+
+    parts: lines, and tables of _k and line, which are written in order of _k. Rows are range-sorted, so every task writes its own
+    stretch of the document; no task sees all of it.
+    """
+    rows = None
+    for n, part in enumerate(parts):
+        x = spark.createDataFrame([("", part)], "_k string, line string") if isinstance(part, str) else part.select(F.col("_k").cast("string").alias("_k"), "line")
+        x = x.withColumn("_n", F.lit(n))
+        rows = x if rows is None else rows.unionByName(x)
+    rows.orderBy("_n", "_k").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def in_written_order(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
+    """value and ``name`` (from 1): the lines of a document of :func:`write_document`, numbered by file name and place in the file."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return places(staged(rows), ["_f", "_b", "_i"], (), name).select("value", name)
 
 
 def write_manifest(ids: DataFrame, papers: DataFrame, path: str) -> None:
-    manifest_json(ids, papers).coalesce(1).write.mode("overwrite").text(path)
+    """The ledger's JSON, keys sorted, a line an entry. ids: id and stem. papers: stem and fields."""
+    fields = [c for c in papers.columns if c != "stem"]
+    by_id, entries = _entries(ids, "id", _key("stem")), _entries(papers, "stem", F.to_json(F.struct(*fields)))
+    write_document([_MANIFEST_HEAD, by_id, _MANIFEST_MIDDLE, entries, _MANIFEST_TAIL], path, ids.sparkSession)
 
 
 # ---- lists and tables
@@ -91,7 +121,7 @@ def doi_lines(lines: DataFrame, value: str = "value", pos: str = "pos") -> DataF
     return rows.groupBy(F.lower("doi").alias("_k")).agg(F.min(F.struct(pos, "doi")).alias("_f")).select("_f.*")
 
 
-_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
+_TSV = {"sep": "\t", "quote": '"', "escape": '"'}
 
 
 def read_triage(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +129,8 @@ def read_triage(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in TRIAGE)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.csv(path, schema=schema, **_TSV).na.fill("")
+    rows = spark.read.csv(path, schema=schema, **_TSV).na.fill("")
+    return rows.where(~F.concat_ws("\t", *TRIAGE).eqNullSafe(F.lit("\t".join(TRIAGE))))  # the header is in the first file only
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
@@ -109,9 +140,12 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_triage(rows: DataFrame, path: str, order: list | None = None) -> None:
-    """One tab-separated file with a header, minimal quoting, LF ends, in the given order (else by tier, year and doi)."""
-    sorted_rows = rows.select(*TRIAGE).orderBy(*(order or ["tier", "year", "doi"]))
-    sorted_rows.coalesce(1).write.mode("overwrite").csv(path, lineSep="\n", emptyValue="", nullValue="", **_TSV)
+    """Tab-separated files that follow each other in name order: a header, then the rows in the given order (else by tier, year and doi); minimal quoting, LF ends."""
+    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order or ["tier", "year", "doi"])}
+    body = rows.select(*TRIAGE, F.lit(1).alias("_n"), *[c.alias(k) for k, c in keys.items()])
+    head = rows.sparkSession.createDataFrame([tuple(TRIAGE)], ", ".join(f"{c} string" for c in TRIAGE)).withColumns({"_n": F.lit(0), **{k: F.lit(None).cast(body.schema[k].dataType) for k in keys}})
+    both = head.unionByName(body).orderBy("_n", *keys).select(*TRIAGE)
+    both.write.mode("overwrite").csv(path, lineSep="\n", emptyValue="", nullValue="", header=False, **_TSV)
 
 
 def markdown_rows(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -179,18 +213,23 @@ def pdfs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """doi and its metadata (null: a known miss); missing or corrupt files are empty."""
+    """doi and its metadata (null: a known miss); missing or corrupt files are empty.
+
+    A cache with a line an entry is read line by line, by many tasks; any other is one JSON document, read whole.
+    """
     if not exists(spark, path):
-        return spark.createDataFrame([("{}",)], "value string").select(F.explode(F.from_json("value", META)).alias("doi", "meta"))
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", META)).alias("doi", "meta")).select("doi", F.when(F.col("meta.title").isNotNull() | F.col("meta.year").isNotNull(), F.col("meta")).alias("meta"))
+        rows = spark.createDataFrame([("{}",)], "value string")
+    else:
+        lines = spark.read.text(path).where(~F.trim("value").isin("{", "}", "")).select(F.concat(F.lit("{"), F.ltrim("value", F.lit(",")), F.lit("}")).alias("value"))
+        odd = lines.where(F.from_json("value", "map<string,string>").isNull()).limit(1).count()
+        rows = spark.read.text(path, wholetext=True) if odd else lines
+    got = rows.select(F.explode(F.from_json("value", META)).alias("doi", "meta"))
+    return got.select("doi", F.when(F.col("meta.title").isNotNull() | F.col("meta.year").isNotNull(), F.col("meta")).alias("meta"))
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
-    """One JSON document, keys sorted; a null meta is kept as a known miss. rows: doi, meta."""
-    entry = F.struct("doi", F.coalesce(F.to_json("meta"), F.lit("null")).alias("meta"))
-    pairs = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(F.to_json(F.array(e["doi"])), F.lit(":"), e["meta"]))
-    texts = F.transform(pairs, lambda p: F.regexp_replace(p, r'^\["(.*?)"\]:', r'"$1":'))
-    rows.agg(F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON document, keys sorted, a line an entry; a null meta is kept as a known miss. rows: doi, meta."""
+    write_document(["{", _entries(rows, "doi", F.to_json("meta")), "}"], path, rows.sparkSession)
 
 
 def log_rows(fetched: DataFrame, relinked: DataFrame, gaps: DataFrame, project: str) -> DataFrame:
@@ -204,12 +243,105 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def report(rows: DataFrame, line: Column, order: list, path: str) -> None:
-    """Lines of text in a given order, as one file (a report is small: one line per row shown)."""
-    rows.orderBy(*order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Lines of text in a given order, as files that follow each other in name order."""
+    rows.orderBy(*order).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def bibliography(entries: DataFrame, path: str) -> None:
-    """A head with the number of entries, then the entries (key, entry) by key, blank lines between, as one file."""
-    head = entries.agg(F.concat(F.lit("% "), F.count(F.lit(1)).cast("string"), F.lit(" entries; do not edit, generate anew\n")).alias("value")).select(F.lit(0).alias("_o"), F.lit("").alias("key"), "value")
-    rows = head.unionByName(entries.select(F.lit(1).alias("_o"), "key", F.concat("entry", F.lit("\n")).alias("value")))
-    rows.orderBy("_o", "key").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """A head with the number of entries, then the entries (key, entry) by key, blank lines between. Lines of an entry stay together."""
+    head = f"% {entries.count()} entries; do not edit, generate anew\n"
+    write_document([head, entries.select(F.col("key").alias("_k"), F.concat("entry", F.lit("\n")).alias("line"))], path, entries.sparkSession)
+
+
+# ---- files by tasks
+
+
+def _store(uri: str):
+    """(file system, path) of a URI, in a worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def _safe(name: str | None) -> bool:
+    return bool(name) and not name.startswith("/") and ".." not in name.split("/")
+
+
+def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:
+    """``path`` (relative) and size of files that the tasks wrote below ``root``, one for each row; a name that would leave the folder raises an error.
+
+    Each file is written under another name and then moved, so that a task that is tried again leaves whole files only.
+    """
+
+    def run(batches):
+        store, base = _store(root)
+        for b in batches:
+            sizes = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not _safe(name):
+                    raise ValueError(f"unsafe file name: {name}")
+                _put_whole(store, f"{base}/{name}", lambda out, data=data: out.write(data or b""))
+                sizes.append(len(data or b""))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    ship(rows.sparkSession)
+    return staged(rows.select(F.col(path).alias("path"), F.col(content).cast("binary")).mapInArrow(run, "path string, size bigint"))
+
+
+def _put_whole(store, target: str, fill) -> None:
+    store.create_dir(target.rpartition("/")[0], recursive=True)
+    part = f"{target}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        fill(out)
+    store.move(part, target)
+
+
+def export_project(papers: DataFrame, project: str, library: str, target: str) -> DataFrame:
+    """stem, file, status (copied, missing, unsafe, none listed) and size of a project's member files, copied from ``library`` to ``target``.
+
+    papers: stem, files and projects, as in the ledger. Every file is copied once, whatever the number of papers that list it, by the
+    task that owns its row, as a stream; contents never pass through Spark. The library is only read. A null project list is no membership.
+    """
+    spark = papers.sparkSession
+    members = staged(papers.where(F.array_contains("projects", project)).select("stem", F.explode_outer("files").alias("file")))
+
+    def run(batches):
+        (source, base), (store, out) = _store(library), _store(target)
+        for b in batches:
+            status, sizes = [], []
+            for name in b.column(0).to_pylist():
+                size = None
+                if not _safe(name):
+                    state = "unsafe"
+                elif not source.get_file_info(f"{base}/{name}").is_file:
+                    state = "missing"
+                else:
+                    with source.open_input_stream(f"{base}/{name}") as data:
+                        size = _copy(data, store, f"{out}/{name}")
+                    state = "copied"
+                status.append(state)
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(status, pa.string()), pa.array(sizes, pa.int64())], names=["file", "status", "size"])
+
+    ship(spark)
+    names = members.where("file is not null").select("file").distinct()
+    done = staged(names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(run, "file string, status string, size bigint"))
+    return members.join(done, "file", "left").select("stem", "file", F.coalesce("status", F.lit("none listed")).alias("status"), "size")
+
+
+def _copy(data, store, target: str) -> int:
+    size = 0
+
+    def fill(out) -> None:
+        nonlocal size
+        while chunk := data.read(1 << 20):
+            out.write(chunk)
+            size += len(chunk)
+
+    _put_whole(store, target, fill)
+    return size
+
+
+def export_totals(exported: DataFrame) -> DataFrame:
+    """One row: papers, copied and missing files of an export."""
+    return exported.agg(F.count_distinct("stem").alias("papers"), F.count_if(F.col("status") == "copied").alias("copied"), F.count_if(F.col("status") == "missing").alias("missing"))

@@ -35,8 +35,12 @@ def test_query_matches_sql(spark, duck, name):
     assert [x.replace(".0,", ",").replace(".0)", ")") for x in a] == [x.replace(".0,", ",").replace(".0)", ")") for x in b]
 
 
-def test_all_queries_have_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+#: Held against brute force in test_fixtures.py instead.
+WITHOUT_SQL = {"f05_without_diacritics", "j11_citing_sections"}
+
+
+def test_all_other_queries_have_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) | WITHOUT_SQL and not set(catalog.ORACLES) & WITHOUT_SQL
 
 
 def test_flagship_anchor(spark):

@@ -1,12 +1,17 @@
 """Hand-made rows with results worked out by hand."""
 
+import json
+import random
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
-from quillspark.operators import decide, discover, graph, keys, reconcile, triage
+from quillspark.operators import decide, discover, graph, keys, matching, ranking, reconcile, triage
 from quillspark.plans import catalog
-from quillspark.sources import files, landed
+from quillspark.sources import files, landed, pages
 
 c, lit = F.col, F.lit
 
@@ -43,6 +48,24 @@ def test_coupling_properties(spark):
     assert three.join(two, ["a", "b", "shared"], "left_anti").count() == 0
     assert sorted(map(tuple, graph.coupling(edges.orderBy(F.rand(1)), 2).collect())) == sorted(map(tuple, two.collect()))
     assert sorted(map(tuple, graph.coupling(edges, 2, hot=2).collect())) == sorted(map(tuple, two.collect()))
+    cited = {}
+    for r in edges.distinct().collect():
+        cited.setdefault(r.stem, set()).add(r.cited)
+    for least in (1, 2, 3, 5):
+        want = sorted((a, b, len(cited[a] & cited[b])) for a in cited for b in cited if a < b and len(cited[a] & cited[b]) >= least)
+        for long in (64, 8, 0):  # lists carried along, some papers counted work by work, all of them
+            assert sorted(map(tuple, graph.coupling(edges, least, long=long).collect())) == want
+
+
+def test_coupling_of_hubs(spark):
+    """One paper that cites everything, one work that every paper cites."""
+    rows = [(0, k) for k in range(300)] + [(s, 0) for s in range(1, 200)] + [(s, s) for s in range(1, 200)] + [(s, s + 1) for s in range(1, 200)]
+    edges = spark.createDataFrame(rows, "stem long, cited long")
+    got = {(r.a, r.b): r.shared for r in graph.coupling(edges, hot=50).collect()}
+    cited = {}
+    for a, b in rows:
+        cited.setdefault(a, set()).add(b)
+    assert got == {(a, b): len(cited[a] & cited[b]) for a in cited for b in cited if a < b and len(cited[a] & cited[b]) >= 2}
     assert graph.coupling(edges.limit(0)).count() == 0
 
 
@@ -103,17 +126,71 @@ def test_crosstab(spark):
     assert all(got[("Rodent", k)] == (0, 0.0) for k in ("Detection", "Memory", "Other"))
 
 
-def test_proximity(spark):
-    text = "# 1. One\n(Rey et al., 2012a) here\n# 2. Two\n(Rey, 2013) (Wu 2010) Reyes 2012"
-    d = spark.createDataFrame([(1, text)], "d int, t string")
-    heads = d.select("d", F.explode(U.numbered_headings("t")).alias("h")).select("d", c("h.start").alias("pos"), c("h.section").alias("section"))
-    words = d.select("d", F.explode(U.dated_words(U.folded("t"))).alias("w")).select("d", "w.word", "w.year", "w.pos")
-    placed = triage.as_of(words, heads, ["d"], ["pos"], "section").select(c("word").alias("name"), "year", "section")
-    refs = spark.createDataFrame([("rey", 2012, 0), ("wu", 2012, 1), ("wu", None, 2)], "name string, year int, i int")
-    hits = {}
-    for r in triage.near(refs, placed, "name", "year").collect():
-        hits.setdefault(r.i, set()).add(r.section)
-    assert hits == {0: {1, 2}, 2: {2}}
+# ---- names and years in drafts
+
+_FOLD = str.maketrans({**dict.fromkeys("‐‑‒–—―−", "-"), **{k: unicodedata.normalize("NFD", chr(k))[0] for k in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(k))[0].isascii()}})
+
+
+def brute_sections(text, name, year):
+    """Sections that cite a name, found by searching the whole text for it."""
+    text = re.sub(r"(?m)^\[image\d+\]:.*$", "", text)
+    cut = re.search(r"(?im)^\s*(?:#+\s*|\*\*)?References\b", text)
+    text = text[: cut.start()] if cut else text
+    heads = [(m.start(), int(m[1])) for m in re.finditer(r"(?m)^(?:#+\s*|\*\*)(\d+)\\?\.\s", text)]
+    fold = lambda s: s.translate(_FOLD).lower()
+    found = set()
+    if name is not None and len(name) >= 2:
+        for m in re.finditer(r"\b" + re.escape(fold(name)) + r"\b[^)\]]{0,45}?\b((?:19|20)\d\d)", fold(text)):
+            before = [n for at, n in heads if at <= m.start()]
+            if before and (year is None or abs(int(m[1]) - year) <= 1):
+                found.add(before[-1])
+    return sorted(found)
+
+
+def test_citing_sections(spark):
+    texts = [
+        "Rey 2012\n# 1. One\n(Rey et al., 2012a) here\n# 2. Two\n(Rey, 2013) (Wu 2010) Reyes 2012\n",
+        "**1\\. A** Cronin‐Golomb and Lehéricy (2014), van der Berg [2011] Berg) 2011 [Li] 2011 Li 2011\n[image1]: Rey 2012\n## 2. B\nLi and Li and Li 2012; Li " + "x" * 44 + " 2013\n",
+        "# 3. C\nRey 1999 2000 Rey2001 2001Rey 2002 a_Rey 2003 Rey_ 2004 O'Neil-Smith 2005 'Rey' 2006\n# 10. D\nNG 19991 Ng 2012\n**References**\nRey 2012",
+        "# 1. A\nLi" + "y " * 21 + "2011 Li" + " y" * 22 + " 2011\n# 2. B\nWu\n# 3. C\n2012 Wu\n4 2013 # 5. no\n",
+        "no heading Rey 2012", "", None,
+    ]
+    names = ["Rey", "rey", "Wu", "Li", "Cronin-Golomb", "Lehericy", "van der Berg", "Berg", "O'Neil-Smith", "O'Neil", "Ng", "a", "", None, "Reyes", "y", "Li y", "'Rey"]
+    rng = random.Random(3)
+    words = ["Rey", "Wu", "van der Berg", "Berg", "and", "(", ")", "]", "2011", "2012", "1998", "20123", "x2012", "\n# 4. ", "\n# 5. ", "Lehéricy", "—", "é", "_", "'", ".", "42"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 300))) for _ in range(60)] + ["".join(rng.choice(words) for _ in range(80)) for _ in range(60)]
+    texts.append("filler words here " * 3000 + "\n# 7. Far\nRey and others (2012) " + "Wu 2010 " * 700)
+    drafts = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    refs = [(d, n, y) for d in range(len(texts)) for n in names for y in (None, 2012)] + [(999, "Rey", 2012), (None, "Rey", 2012), (0, "Rey", 2012)]
+    got = matching.citing_sections(spark.createDataFrame(refs, "d long, n string, y int"), drafts, "d", "t", "n", "y").collect()
+    want = [(d, n, y, brute_sections(texts[d] or "", n, y) if d is not None and d < len(texts) else []) for d, n, y in refs]
+    assert sorted(map(str, ((r.d, r.n, r.y, r.sections) for r in got))) == sorted(map(str, want))
+    assert sum(bool(w[3]) for w in want) > 200
+
+
+def test_citing_sections_of_the_table(spark):
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    drafts = {r.doc_id: r.draft for r in catalog.written_drafts(t).collect()}
+    got = catalog.QUERIES["j11_citing_sections"](spark, t.folder).collect()
+    assert len(got) == 3 * len(drafts)
+    for r in got:
+        assert r.sections == ",".join(map(str, brute_sections(drafts[r.doc_id], r.name, r.year)))
+    assert sum(r.sections != "" for r in got) > 100
+
+
+def test_titles_in_pages(spark):
+    rng = random.Random(1)
+    words = [f"w{min(int(rng.expovariate(0.15)), 60)}" for _ in range(5000)]
+    titles = [(i, rng.sample(words, rng.randint(0, 9))) for i in range(150)] + [(500, None), (501, ["w1", None, "w1", "zz"]), (502, ["zz"])]
+    pages = [(i, rng.sample(words, rng.randint(0, 60))) for i in range(80)] + [(600, None), (601, []), (602, ["w1", "w1"])]
+    pages += [(700 + i, pages[3][1][::-1]) for i in range(5)]
+    for percent in (60, 100, 1):
+        got = matching.contained_titles(spark.createDataFrame(titles, "title long, words array<string>"), spark.createDataFrame(pages, "page long, words array<string>"), percent=percent)
+        sets = lambda rows: [(i, {x for x in w or [] if x is not None}) for i, w in rows]
+        want = sorted((i, j, len(a & b)) for i, a in sets(titles) for j, b in sets(pages) if a and 100 * len(a & b) >= percent * len(a))
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "Join Cross" not in plan
 
 
 def test_phrases(spark):
@@ -177,6 +254,19 @@ def test_article_xml(spark):
     assert [a.valid for a in got[3:]] == [False, False]
 
 
+def test_article_rules(spark):
+    meta = "<article-meta><article-title>Own</article-title><abstract><p>own</p></abstract></article-meta>"
+    people = '<contrib-group><contrib contrib-type="editor"><surname>Editor</surname></contrib><contrib><surname> </surname></contrib><contrib contrib-type="author"><surname>Author</surname></contrib></contrib-group>'
+    xml = [
+        f"<article><front><related><article-title>Cited</article-title><abstract><p>cited</p></abstract></related>{people}{meta}</front></article>",
+        "<article><front><article-title>Only</article-title></front><contrib><surname>Loose</surname></contrib></article>",
+        '<article><article-meta/><article-title>Late</article-title><contrib-group><contrib contrib-type="editor"><surname>E</surname></contrib></contrib-group></article>',
+    ]
+    df = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in enumerate(xml)], "i int, x binary")
+    got = [(r.a.title, r.a.surname, r.a.abstract) for r in df.select("i", U.article_xml("x").alias("a")).orderBy("i").collect()]
+    assert got == [("Own", "Author", "own"), ("Only", "", ""), ("Late", "", "")]
+
+
 def test_decisions(spark):
     rows = spark.createDataFrame([("10.1/a", "", ""), ("10.2/b", "", "")], "doi string, tier string, note string")
     prior = spark.createDataFrame([("10.1/A", "record", "n"), ("10.2/b", "", " ")], "doi string, tier string, note string")
@@ -199,17 +289,55 @@ def test_worklist(spark):
     assert [r.id for r in got] == ["2", "3", "7", "1"]
 
 
-def test_every_row_has_a_place(spark):
-    rows = [(i, None if i % 7 == 0 else i % 5, f"a{i % 3}") for i in range(200)]
-    got = triage.placed(spark.createDataFrame(rows, "id int, year int, author string"), [c("year") > 2, c("year")], ["author", "id"])
-    order = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or 0) > 2, r[1] or 0, r[2], r[0]))
-    assert {r.id: r.place for r in got.collect()} == {r[0]: k for k, r in enumerate(order, 1)}
+def test_places(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.choice([None, 1, 2, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, g string, year int").repartition(5)
+    order = lambda r: (r[2] is not None, r[2] or 0, r[0])
+    for parts in (1, 4, 37):
+        got = ranking.places(df, ["year", "id"], ["g"], size="n", parts=parts).collect()
+        want = {}
+        for g in (None, "hot", "a", "b"):
+            own = sorted((r for r in rows if r[1] == g), key=order)
+            want |= {r[0]: (k, len(own)) for k, r in enumerate(own, 1)}
+        assert {r.id: (r.place, r.n) for r in got} == want
+    falling = ranking.places(df, [("year", True), "id"]).collect()
+    assert {r.id: r.place for r in falling} == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-(r[2] or 0), r[0])), 1)}
+    assert ranking.places(df.limit(0), ["id"]).collect() == []
     run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    for name, source in (("o07_worklist_places", "p21_worklist"), ("o08_triage_places", "p08_proposed_tier")):
+    for name, source in (("o05_worklist_order", "p21_worklist"), ("o04_triage_order", "p08_proposed_tier")):
         n = run(source).count()
         assert n > 50 and sorted(r.place for r in run(name).collect()) == list(range(1, n + 1))
 
 
+def test_a_hot_group_is_shared_out(spark):
+    df = spark.range(4000).select(c("id"), F.when(c("id") % 3 == 0, c("id")).otherwise(0).alias("g"))
+    blocks = ranking._blocks(df, [c("g")], ranking._orders(["id"]), {}, 16).groupBy("_block").count().collect()
+    assert len(blocks) >= 12 and max(r["count"] for r in blocks) < 3 * 4000 / 16
+
+
+def test_carried(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0, 0, 0, 1, 2]), rng.randint(0, 50), rng.choice([None, None, None, i])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, user int, ts int, v int").repartition(3)
+    want, last = {}, {}
+    for i, user, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        last[user] = v if v is not None else last.get(user)
+        want[i] = last[user]
+    for parts in (1, 7, 40):
+        assert {r.id: r.carried for r in ranking.carried(df, c("v"), ["ts", "id"], ["user"], parts=parts).collect()} == want
+
+
+def test_lookups_keep_one_row(spark):
+    records = spark.createDataFrame([(1, "10.1/a", "7"), (2, "", "7"), (3, None, None)], "i int, doi string, pmid string").withColumn("pmcid", lit(""))
+    ids = spark.createDataFrame([("10.1/a", "x", 0), ("10.1/a", "b", 1), ("7", "p", 0), ("7", "p", 1), (None, "n", 2), ("", "e", 3)], "id string, stem string, pos int")
+    assert sorted((r.i, r.stem) for r in keys.resolve_identifiers(records, ids).collect()) == [(1, "b"), (2, "p"), (3, None)]
+    cit = spark.createDataFrame([("s", "2001", "10.1/a", "")], "surname string, year string, doi string, title string")
+    none = spark.createDataFrame([], "stem string, surname string, year string, title string")
+    dois = spark.createDataFrame([("10.1/a", "z", 0), ("10.1/a", "m", 1)], "doi string, stem string, pos int")
+    assert [r.stem for r in reconcile.match_citations(cit, none, dois).collect()] == ["m"]
+
+
 def test_cascade(spark):
     none = F.array().cast("array<string>")
     assert tuple(one(spark, decide.first_references(jats=none, crossref=F.array(lit("x"))))) == (["x"], "crossref")
@@ -231,6 +359,90 @@ def test_fold_keeps_length(spark):
     assert one(spark, U.surname_key(lit("Kvašňák, J."))) == "kvasnak"
 
 
+def test_folding_in_the_jvm_and_in_workers(spark):
+    """Characters with a rule in the JVM, and those that need a worker, against the Unicode database."""
+    marks = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    texts = [chr(k) for k in [*range(1, 0x300), *range(0x1E00, 0x2300), 0x3B1, 0x416, 0x4E2D, 0xFB01, 0x1F600] if not 0xD800 <= k < 0xE000] + ["Kvašňák e\u0301 ΐ ½ plain", "", "a\u0327b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", U.without_diacritics("t").alias("p"), U.folded("t").alias("f"), U.surname_key("t").alias("k")).collect():
+        if r.t is None:
+            assert r.p is None and r.f is None and r.k == ""
+            continue
+        assert r.p == marks(r.t) and len(r.f) == len(r.t)
+        assert r.f == "".join(U._FOLDING[ord(x)] for x in r.t)
+        first = re.search("[A-Za-z\u00c0-\u024f]+", r.t)
+        assert r.k == (marks(first[0]).lower() if first else "")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.plain for r in catalog.QUERIES["f05_without_diacritics"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.doc_id: marks(r.text) for r in docs}
+
+
+def test_landed_pages(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i // 10, f'{{"v":"{i}ü"}}' if i % 7 else '{"v":') for i in range(55)], "id long, page long, body string")
+    pages.land(rows, c("page"), c("id"), c("body"), f"file://{tmp_path}/p")
+    got = pages.read(spark, f"file://{tmp_path}/p")
+    assert got.rdd.getNumPartitions() == 6
+    back = got.collect()
+    assert {int(r.id): r.payload for r in back if r.id} == {i: f'{{"v": "{i}ü"}}' for i in range(55) if i % 7}
+    assert sum(r.error is not None and r.payload is None for r in back) == 8
+    for test, among in (("page = 2", {2}), ("page > 3", {4, 5}), ("page <= 1", {0, 1}), ("page in (1, 4)", {1, 4}), ("page >= 9", set())):
+        some = got.where(test)
+        assert {r.page for r in some.collect()} == among and some.rdd.getNumPartitions() == max(len(among), 1)
+    with pytest.raises(Exception, match="path"):
+        spark.read.format("landed_pages").load().collect()
+
+
+def test_written_documents(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files for few rows
+    try:
+        written_documents(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def written_documents(spark, tmp_path):
+    lib = f"file://{tmp_path}"
+    n = 3000
+    ids = spark.range(n).select(F.concat(lit('1"0/'), c("id").cast("string")).alias("id"), F.concat(lit("s"), c("id").cast("string")).alias("stem"))
+    papers = ids.select("stem", F.concat(lit('T {"x"}, \n'), "stem").alias("title"), F.array(lit("p")).alias("projects"))
+    files.write_manifest(ids, papers, f"{lib}/m")
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    whole = json.loads("".join(p.read_text() for p in parts))
+    assert len(parts) > 3 and list(whole["by_id"]) == sorted(whole["by_id"]) and len(whole["entries"]) == n
+    i, p = files.read_manifest(spark, f"{lib}/m")
+    assert {r.id: r.stem for r in i.collect()} == whole["by_id"] and {r.stem: r.title for r in p.collect()} == {k: v["title"] for k, v in whole["entries"].items()}
+    (tmp_path / "other.json").write_text(json.dumps(whole, indent=2))
+    i, p = files.read_manifest(spark, f"{lib}/other.json")
+    assert i.count() == p.count() == n
+    files.write_manifest(ids.limit(0), papers.limit(0), f"{lib}/none")
+    assert files.read_manifest(spark, f"{lib}/none")[0].count() == 0
+    meta = spark.createDataFrame([("10.1/a", (2001, "T")), ("10.1/b", None)], "doi string, meta struct<year:int,title:string>")
+    files.write_cache(meta, f"{lib}/c")
+    cache = json.loads("".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*"))))
+    assert cache == {"10.1/a": {"year": 2001, "title": "T"}, "10.1/b": None}
+    (tmp_path / "c.json").write_text(json.dumps(cache, indent=1))
+    (tmp_path / "broken.json").write_text('{"10.1/a": {')
+    for path, want in (("c", 2), ("c.json", 2), ("broken.json", 0), ("missing", 0)):
+        got = {r.doi: r.meta and r.meta.title for r in files.read_cache(spark, f"{lib}/{path}").collect()}
+        assert got == ({"10.1/a": "T", "10.1/b": None} if want else {})
+    files.bibliography(spark.createDataFrame([("b", "@b{\n}"), ("a", "@a{\n}")], "key string, entry string"), f"{lib}/bib")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "bib").glob("part-*"))) == "% 2 entries; do not edit, generate anew\n\n@a{\n}\n\n@b{\n}\n\n"
+
+
+def test_project_export(spark, tmp_path):
+    lib = tmp_path / "lib"
+    (lib / "sub").mkdir(parents=True)
+    (lib / "a.xml").write_bytes(b"x" * 3_000_000)
+    (lib / "sub" / "b.pdf").write_bytes(b"")
+    papers = spark.createDataFrame([("p", ["a.xml", "sub/b.pdf", "gone.xml"], ["one"]), ("q", ["a.xml", "../out.txt", "/etc/x"], ["one", "two"]), ("r", [], ["one"]), ("s", ["a.xml"], None), ("t", None, ["one"])], "stem string, files array<string>, projects array<string>")
+    out = files.export_project(papers, "one", f"file://{lib}", f"file://{tmp_path}/out")
+    got = sorted((r.stem, r.file or "", r.status, r.size) for r in out.collect())
+    assert got == [("p", "a.xml", "copied", 3_000_000), ("p", "gone.xml", "missing", None), ("p", "sub/b.pdf", "copied", 0), ("q", "../out.txt", "unsafe", None), ("q", "/etc/x", "unsafe", None), ("q", "a.xml", "copied", 3_000_000), ("r", "", "none listed", None), ("t", "", "none listed", None)]
+    assert tuple(files.export_totals(out).first()) == (4, 3, 1)
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.xml", "sub/b.pdf"]
+    assert (tmp_path / "out" / "a.xml").read_bytes() == (lib / "a.xml").read_bytes() and len(list(lib.rglob("*"))) == 3
+
+
 def test_landed_payloads(spark):
     assert one(spark, landed.first_hit(lit('{"resultList":{"result":[]}}'))) is None
     assert one(spark, landed.references(lit('{"message":{"reference":[{"DOI":"10.1/A"},{"DOI":" 10.1/a "},{},{"DOI":"10.2/b"}]}}'))) == ["10.1/A", "10.2/b"]
