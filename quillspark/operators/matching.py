@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -58,34 +58,37 @@ def dated_passages(drafts: DataFrame, key: str, text: Column, reach: int) -> Dat
     """``key``, stop, year, passage: every year of a text, the place behind it, and what stands before it.
 
     passage: the text from the year before it (or the start) up to the year, its last ``reach`` characters. Offsets are running sums
-    of the lengths of the stretches that end in a year, in the JVM; only years and what is near them leave the text's row.
+    of the lengths of the stretches that end in a year, in the JVM (each begins where the last one ended, so a text is gone through once); only years and what is near them leave the text's row.
     """
-    stretches = F.regexp_extract_all(text, F.lit(rf"(?s)(.*?){_YEAR}"), F.lit(0))
-    short = F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), F.substr(s, F.greatest(F.length(s) - 3 - reach, F.lit(1)), F.lit(reach + 4)).alias("s")))
-    x = drafts.select(key, F.posexplode(_running(short)).alias("_i", "_e"))
+    stretches = drafts.select(key, F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?){_YEAR}"), F.lit(0)).alias("_stretches"))
+    short = F.transform("_stretches", lambda s: F.struct(F.length(s).alias("n"), F.substr(s, F.greatest(F.length(s) - 3 - reach, F.lit(1)), F.lit(reach + 4)).alias("s")))
+    x = _running(stretches, short)
     s = F.col("_e.s")
     cut = F.length(s) - 4
     return x.select(key, F.col("_e.stop").alias("stop"), F.substr(s, cut + 1, F.lit(4)).cast("int").alias("year"), F.substr(s, F.lit(1), cut).alias("passage"))
 
 
-def _running(items: Column) -> Column:
-    """items (struct n, s) with ``stop``, the sum of n up to and with each; in steps of 256, so that long lists are not copied once an item."""
-    size = 256
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(items, k * size + 1, F.lit(size)))
-    total = lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
-    before = F.aggregate(blocks, F.array(F.lit(0).cast("bigint")), lambda a, b: F.array_append(a, F.element_at(a, -1) + total(b)))
-    within = lambda b, start: F.transform(b, lambda e, i: F.struct((start + total(F.slice(b, F.lit(1), i + 1))).alias("stop"), e["s"].alias("s")))
-    return F.flatten(F.transform(blocks, lambda b, k: within(b, F.element_at(before, k + 1))))
+def _running(rows: DataFrame, items: Column) -> DataFrame:
+    """The columns of rows, and ``_e`` for each of its items (struct n, s): s, and ``stop``, the sum of n up to and with it."""
+    x = rows.withColumn("_row", F.monotonically_increasing_id()).select(*rows.columns, "_row", F.posexplode(items).alias("_at", "_i"))
+    w = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return x.select(*rows.columns, F.struct(F.sum("_i.n").over(w).alias("stop"), F.col("_i.s").alias("s")).alias("_e"))
+
+
+def _running_few(items: Column) -> Column:
+    """The same for a short array, within its row."""
+    kind = "array<struct<stop:bigint,s:string>>"
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["stop"], F.lit(0).cast("bigint"))
+    return F.aggregate(items, F.array().cast(kind), lambda a, e: F.array_append(a, F.struct((last(a) + e["n"]).alias("stop"), e["s"].alias("s"))).cast(kind))
 
 
 def numbered_headings(drafts: DataFrame, key: str, text: Column) -> DataFrame:
     """``key``, start, section of headings ``# 3. `` and ``**3\\. `` at the start of a line, by running sums like :func:`dated_passages`."""
     # Fixed value: the pattern of a numbered heading.
-    pattern = r"(?dms)(.*?)^((?:#+[\s\p{Z}]*|\*\*)(\d+)\\?\.[\s\p{Z}])"
-    whole, before, section = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, 1, 3))
+    pattern = r"(?dms)\G(.*?)^((?:#+[\s\p{Z}]*|\*\*)(\d+)\\?\.[\s\p{Z}])"
+    whole, before, section = (F.regexp_extract_all("_text", F.lit(pattern), F.lit(k)) for k in (0, 1, 3))
     zipped = F.transform(F.arrays_zip(whole.alias("w"), before.alias("b"), section.alias("s")), lambda e: F.struct(F.length(e["w"]).alias("n"), F.struct((F.length(e["w"]) - F.length(e["b"])).alias("d"), e["s"].alias("v")).alias("s")))
-    x = drafts.select(key, F.explode(_running(zipped)).alias("_e"))
-    return x.select(key, (F.col("_e.stop") - F.col("_e.s.d")).alias("start"), F.col("_e.s.v").cast("int").alias("section"))
+    return _running(drafts.select(key, text.alias("_text")), zipped).select(key, (F.col("_e.stop") - F.col("_e.s.d")).alias("start"), F.col("_e.s.v").cast("int").alias("section"))
 
 
 def citing_sections(references: DataFrame, drafts: DataFrame, key: str, text: str, name: str, year: str, slack: int = 1) -> DataFrame:
@@ -109,11 +112,10 @@ def citing_sections(references: DataFrame, drafts: DataFrame, key: str, text: st
     longest = names.agg(F.max(F.length("_name"))).first()[0] or 0
     # one index row for each word near a year: the word, where it starts in the passage, and the year
     near = staged(dated_passages(d, key, F.col("_t"), longest + WINDOW + 1))
-    starts = F.regexp_extract_all("passage", F.lit(rf"(?s)(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(0))
-    word = F.regexp_extract_all("passage", F.lit(rf"(?s)(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(2))
+    starts = F.regexp_extract_all("passage", F.lit(rf"(?s)\G(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(0))
+    word = F.regexp_extract_all("passage", F.lit(rf"(?s)\G(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(2))
     each = F.transform(F.arrays_zip(starts.alias("w"), word.alias("x")), lambda e: F.struct(F.length(e["w"]).alias("n"), e["x"].alias("s")))
-    index = near.select(key, "stop", "year", "passage", F.explode(_running(each)).alias("_e"))
-    index = index.select(key, "stop", "year", "passage", F.col("_e.s").alias("_first"), (F.col("_e.stop") - F.length("_e.s")).alias("_at"))
+    index = near.select(key, "stop", "year", "passage", F.explode(_running_few(each)).alias("_e")).select(key, "stop", "year", "passage", F.col("_e.s").alias("_first"), (F.col("_e.stop") - F.length("_e.s")).alias("_at"))
     met = names.join(index, [key, "_first"]).where(F.col("_y").isNull() | (F.abs(F.col("year") - F.col("_y")) <= slack))
     # the name starts where its first word does, less what stands before that word in the name
     at = F.col("_at") - (F.instr(F.col("_name"), F.col("_first")) - 1)
