@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import cache
 
 import pyarrow as pa
@@ -47,8 +47,11 @@ SENT_PATHS = 2_000_000
 
 # HTML element names by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas select".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas select annotation annotation-xml".split())
+_INLINE = frozenset(
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math semantics mrow mi mo mn ms mtext mspace mstyle mpadded mphantom merror mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mfenced menclose""".split()
+)
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tfoot", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl div article section body html td th button".split())
@@ -66,7 +69,11 @@ _BESIDE = frozenset(
     """main site page global top bottom left right primary secondary inner outer box block area wrap wrapper container section list item items link links bar panel region zone unit module
     slot group row col column button buttons icon icons form posts post articles stories thread reader user""".split()
 )
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Words that may stand beside those that mark a part as away, but not beside those of page headers (an entry's header holds its title).
+_BESIDE_AWAY = _BESIDE | frozenset("article entry wp".split())
+_OPEN = re.compile(r"<(?=[!?a-zA-Z]|/[a-zA-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/><]*+)")
+_PLAIN = re.compile(r"""[^<>"']*+""")
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NEUTRAL, AWAY, OUTSIDE, GONE = range(4)
@@ -80,10 +87,10 @@ def _step(path: int, style: str) -> int:
     return _signed(xxhash.xxh64_intdigest(style, path & 0xFFFFFFFFFFFFFFFF))
 
 
-def _marks(name: str, words: frozenset) -> bool:
+def _marks(name: str, words: frozenset, beside: frozenset = _BESIDE) -> bool:
     """Does a name consist of such words, but for those that may stand beside them?"""
     parts = [x.lower() for x in _PART.findall(name)]
-    return any(x in words for x in parts) and all(x in words or x in _BESIDE for x in parts)
+    return any(x in words for x in parts) and all(x in words or x in beside for x in parts)
 
 
 @cache
@@ -99,7 +106,7 @@ def _named(tag: str, attributes: str) -> tuple[str, int]:
         if tag not in ("html", "body"):
             if any(_marks(x, _COMMENTS) for x in tokens):
                 role = GONE
-            elif tag not in ("article", "main") and any(_marks(x, _AWAY) for x in tokens):
+            elif tag not in ("article", "main") and any(_marks(x, _AWAY, _BESIDE_AWAY) for x in tokens):
                 role = max(role, AWAY) if role != OUTSIDE else AWAY
             elif tag not in ("article", "main") and any(_marks(x, _AWAY_OUTSIDE) for x in tokens):
                 role = role or OUTSIDE
@@ -117,57 +124,111 @@ class Page:
         self.tag, self.style, self.role, self.parent, self.path, self.events = ["html"], ["html"], [NEUTRAL], [-1], [_step(0, "html")], [0]
 
 
+class _Scanner:
+    """Tags of a markup in order, in time linear to its length however broken it is."""
+
+    def __init__(self, markup: str):
+        self.markup, self.size = markup, len(markup)
+        self.last = {q: markup.rfind(q) for q in "\"'>"}  # behind these there is none
+
+    def _after(self, what: str, at: int) -> int:
+        return self.markup.find(what, at) if at <= self.last[what] else -1
+
+    def tag(self, at: int) -> tuple[int, str, str] | None:
+        """(end, name, attributes) of the tag at a ``<``; None if that begins none.
+
+        Quotes without a partner are no quotes. A ``<`` outside of quotes, before any ``>``, shows that the first one was text. A tag that the
+        text's end breaks off is markup if it has come to its attributes.
+        """
+        m = _NAME.match(self.markup, at)
+        start = k = m.end()
+        while True:
+            k = _PLAIN.match(self.markup, k).end()
+            if k >= self.size:
+                return (self.size, m[1].lower(), "") if self.size > start else None
+            c = self.markup[k]
+            if c == ">":
+                return k + 1, m[1].lower(), self.markup[start:k]
+            if c == "<":
+                return None
+            close = self._after(c, k + 1)
+            k = close + 1 if close >= 0 else k + 1
+
+    def comment(self, at: int) -> int:
+        """The end of the comment or declaration at ``<!`` or ``<?``."""
+        if self.markup.startswith("<!--", at):
+            end = self.markup.find("-->", at + 4)
+            return end + 3 if end >= 0 else self.size
+        end = self._after(">", at)
+        return end + 1 if end >= 0 else self.size
+
+    def raw(self, tag: str, at: int) -> int:
+        """The end of a raw element's end tag."""
+        m = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(self.markup, at)
+        end = self._after(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else self.size
+
+
 def parse(markup: str) -> Page:
     """The page's elements; text is left with its character references."""
     page = Page()
     tags, events = page.tag, page.events
-    stack, open_tags, at, size = [0], Counter(), 0, len(markup)
+    stack, at, size = [0], 0, len(markup)
+    where: dict[str, list[int]] = defaultdict(list)  # of each open element, its places in the stack
+    scopes: list[int] = []
+    scan = _Scanner(markup)
 
     def end_from(k: int) -> None:
-        for i in reversed(stack[k:]):
-            open_tags[tags[i]] -= 1
+        for n in range(len(stack) - 1, k - 1, -1):
+            i = stack[n]
+            if n:
+                where[tags[i]].pop()
+                if scopes and scopes[-1] == n:
+                    scopes.pop()
             events.append(~i)
         del stack[k:]
 
     def close(these: set) -> None:
         """Ends the nearest open element of these in scope, and all inside it."""
-        if not any(open_tags[t] for t in these):
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if tags[stack[k]] in these:
-                end_from(k)
-                return
-            if tags[stack[k]] in _SCOPE:
-                return
+        k = max((where[t][-1] for t in these if where.get(t)), default=0)
+        if k and k >= (scopes[-1] if scopes else 0):
+            end_from(k)
 
+    text = 0  # where the text not yet taken begins
     while at < size:
-        m = _TOKEN.search(markup, at)
+        m = _OPEN.search(markup, at)
         if m is None:
-            events.append(markup[at:])
             break
-        if m.start() > at:
-            events.append(markup[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        begin = m.start()
+        if markup[begin + 1] in "!?":
+            got, ends, tag = True, scan.comment(begin), None
+        else:
+            got = scan.tag(begin)
+            if got is None:
+                at = begin + 1
+                continue
+            ends, tag, attributes = got
+        if begin > text:
+            events.append(markup[text:begin])
+        text = at = ends
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if open_tags[tag]:
-                end_from(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
+        if markup[begin + 1] == "/":
+            if where.get(tag):
+                end_from(where[tag][-1])
             continue
-        if tag == "html" or tag == "body" and open_tags["body"]:
+        if tag == "html" or tag == "body" and where.get("body"):
             continue
         if tag in _ENDS_P:
             close({"p"})
         if tag in _CLOSED_BY:
             close(_CLOSED_BY[tag])
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(markup, at)
-            at = end.end() if end else size
+            text = at = scan.raw(tag, at)
             continue
         if tag == "body":
             close({"head"})
-        style, role = _named(tag, m[3])
+        style, role = _named(tag, attributes)
         i, up = len(tags), stack[-1]
         tags.append(tag)
         page.style.append(style)
@@ -175,11 +236,15 @@ def parse(markup: str) -> Page:
         page.parent.append(up)
         page.path.append(page.path[up] if tag in _INLINE else _step(page.path[up], style))
         events.append(i)
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or attributes.endswith("/"):
             events.append(~i)
         else:
+            where[tag].append(len(stack))
+            if tag in _SCOPE:
+                scopes.append(len(stack))
             stack.append(i)
-            open_tags[tag] += 1
+    if text < size:
+        events.append(markup[text:])
     end_from(0)
     return page
 
@@ -324,7 +389,7 @@ def observations(markup: str) -> list[tuple[int, int, int, int, int, int, int, i
         if block[i] != i or gone[i]:
             continue
         up = page.parent[i]
-        role = CORE if page.tag[i] in ("article", "main") else page.role[i]
+        role = {"article": CORE, "main": MAIN}.get(page.tag[i], page.role[i])
         rows = [(0, ",".join(kids[i]), 0)] if kids[i] or not i else []
         if words[i]:
             rows.append((1, " ".join(words[i]), len(words[i])))
@@ -336,7 +401,7 @@ def observations(markup: str) -> list[tuple[int, int, int, int, int, int, int, i
     return [(*k, *v) for k, v in out.items()]
 
 
-CORE, RARE = GONE + 1, GONE + 2
+CORE, RARE, MAIN = GONE + 1, GONE + 2, GONE + 3
 
 
 def host(url: Column) -> Column:
@@ -402,16 +467,16 @@ def judged(nodes: list[dict], threshold: float = THRESHOLD, roles: bool = True)
     for p in reversed(order):
         x, kids = at[p], below[p]
         weight[p] = x["weight"] + sum(weight[k] for k in kids)
-        core[p] = role[p] == CORE or any(core[k] for k in kids)
+        core[p] = role[p] in (CORE, MAIN) or any(core[k] for k in kids)
         parts = [composite[k] for k in kids] + ([x["read"]] if x["read"] is not None else [])
         mean = sum(parts) / len(parts) if parts else 0.0
         fade = DECAY ** len(kids)
         composite[p] = (1 - fade) * x["look"] + fade * mean if x["look"] is not None else mean
         best[p] = max([composite[p], *(best[k] for k in kids)])  # a branch is as important as what is most so in it
-    low, spared, walk = [], [], [(p, False) for p in tops]
-    for p, inside in walk:
+    low, spared, walk = [], [], [(p, False, False) for p in tops]
+    for p, inside, article in walk:
         x, kids = at[p], below[p]
-        inside = inside or role[p] == CORE
+        inside, article = inside or role[p] in (CORE, MAIN), article or role[p] == CORE
         top = max(kids, key=lambda k: weight[k], default=None)
         apart = top is not None and not inside and (x["look"] or 0.0) < TEMPLATE and (bool(below[top]) or role[top] == RARE)
         beside = not inside and any(core[k] for k in kids)
@@ -423,12 +488,12 @@ def judged(nodes: list[dict], threshold: float = THRESHOLD, roles: bool = True)
                 importance *= weight[k] / weight[top]
             if role[k] == AWAY or not inside and role[k] == OUTSIDE or beside and not core[k]:
                 importance *= PRIOR
-            if not core[k] and importance < threshold:
-                low.append(k)
+            if not core[k] and importance < threshold and (not article or role[k] == AWAY):
+                low.append(k)  # within an article only roles remove: its text may stand on many pages
                 continue
             if role[k] == AWAY:
                 spared.append(k)
-            walk.append((k, inside))
+            walk.append((k, inside, article))
     return low, spared
 
 

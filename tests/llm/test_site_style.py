@@ -157,3 +157,44 @@ def test_repeated_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert S.query(pages(spark).limit(0)).count() == 0
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    n = 1 << 20
+    broken = ["<p", '<a b="', "<a b='", "<!--", "<!", "<?", "<script>", "<script></script", "&", "<", "</", "</p", "<p ", "<p/", '<a "<b \'', "&#", "&am", "<title>", "<p><div ", "<b x=1"]
+    for piece in broken:
+        page = piece * (n // len(piece))
+        start = time.process_time()
+        S.extract(page)
+        S.observations(page)
+        assert time.process_time() - start < 20, piece
+    deep = "<li><ul>" + "<b>" * 50_000 + "<li></li>" * 50_000 + "<p>x"
+    start = time.process_time()
+    assert S.extract(deep)[-1] == "x" and time.process_time() - start < 20
+
+
+def test_broken_tags():
+    assert S.extract("<a href='x>foo</a><p>bar") == ["foo", "bar"]
+    assert S.extract('<p>one <a href="x') == ["one"]
+    assert S.extract("<p>if a<b and b<c <i>then</i>") == ["if a<b and b<c then"]
+    assert S.extract("<p>a<script>x</script >b<style>y</style\n>c") == ["abc"]
+    assert S.extract("<script>a</scripts></script>b") == ["b"]
+
+
+def test_formulas_are_text():
+    assert S.extract("<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><semantics><annotation>TeX</annotation></semantics></math> end") == ["E = mc2 end"]
+
+
+def test_parts_named_after_the_article():
+    for name in ("article-notice", "entry-footer", "article-footer", "wp-block-navigation", "articleShare"):
+        assert S.extract(f'<article><h1>A</h1><p>text</p><div class="{name}">x</div></article>') == ["A", "text"]
+    assert S.extract('<body><div class="entry-header"><h1>Title</h1></div><div class="entry-content"><p>text</p></div><div class="entry-footer">x</div></body>') == ["Title", "text"]
+
+
+def test_an_article_on_many_pages_stays(spark):
+    article = "<article><h1>Notice of terms</h1><p>All pages carry this legal article text.</p><div class='share'>Share</div></article>"
+    rows = [(i, f"http://mirror.example/{i}", f"<body><nav>menu</nav>{article}<div>n{i}</div></body>") for i in range(20)]
+    got = S.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("Notice of terms\n\nAll pages carry this legal article text.") and "Share" not in r.text and "menu" not in r.text for r in got)
