@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, tune
+from .common import fresh_path, salted_join, staged, tune
 
 FILE_BYTES = 2 << 20
 REVISIT_BYTES = 100
@@ -250,9 +250,10 @@ def convert(spark, arc: str, warc: str) -> None:
 
     tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc).select("path", "content")
-    keys = files.mapInArrow(digests, "path string, page_id bigint, url string, date string, digest string")
-    first = keys.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url", "date")).alias("f"))
-    again = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("f.page_id")))
+    keys = staged(files.mapInArrow(digests, "path string, page_id bigint, url string, date string, digest string"), "digests")
+    first = keys.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url", "date")).alias("f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # payloads that stand once meet nothing; one that stands very often is dealt over many tasks
+    again = salted_join(keys, first, ["digest"], "_n").where(F.col("f").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("f.page_id")))
     per_file = again.groupBy("path").agg(F.collect_set(F.struct("page_id", "digest", F.col("f.page_id").alias("f_page"), F.col("f.url").alias("f_url"), F.col("f.date").alias("f_date"))).alias("_again"))
 
     def run(batches):
@@ -303,6 +304,11 @@ def query(pages: DataFrame) -> DataFrame:
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    got = read_warc(spark, warc)
-    named = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_id"])
-    return got.join(named, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = staged(read_warc(spark, warc), "records")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    again = got.where("refers_id is not null")
+    times = again.groupBy("refers_id").agg(F.count(F.lit(1)).alias("_n"))
+    named = got.where("refers_id is null").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
+    kinds = staged(times.join(named.dropDuplicates(["refers_id"]), "refers_id", "left"), "referred")
+    out = salted_join(again, kinds, ["refers_id"], "_n").select(*columns, "refers_to")
+    return out.unionByName(got.where("refers_id is null").select(*columns, F.lit(None).cast("bigint").alias("refers_to")))  # these refer to nothing and join nothing

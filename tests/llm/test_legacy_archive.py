@@ -59,6 +59,12 @@ def test_bytes_that_are_not_text_survive(spark, tmp_path):
     assert headers["warc-date"] == "2001-02-03T04:05:06Z" and headers["warc-target-uri"] == "http://x" and headers["warc-record-id"].startswith("<urn:uuid:")
 
 
+def test_one_payload_on_most_pages(spark):
+    rows = [(i, f"http://h/{i}", BIG if i % 4 else f"{i}" * 60) for i in range(1, 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert sorted((tuple(r) for r in A.query(pages).collect()), key=str) == want(rows)
+
+
 def test_small_files(spark, monkeypatch):
     monkeypatch.setattr(A, "FILE_BYTES", 300)
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
