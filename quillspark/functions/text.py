@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 # ---- identifiers
 
-DOI = r"10\.\d{4,9}/[^\s\x22\x27<>]+"
-DOI_IN_BRACKETS = r"10\.\d{4,9}/[^\s\x22\x27<>)\]}]+"
+# The patterns of a DOI in running text, in brackets and in a table cell.
+DOI = r'''10\.\d{4,9}/[^\s"'<>]+'''
+DOI_IN_BRACKETS = r'''10\.\d{4,9}/[^\s"'<>)\]}]+'''
 DOI_IN_CELL = r"10\.\d{4,9}/\S+"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.joins import lookup
 
 
 def drift(manifest: DataFrame, xml: DataFrame, pdf: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -38,6 +39,34 @@ def tree_sync(source: DataFrame, target: DataFrame, path: str = "path", content:
     return a.join(b, path, "full").select(path, state.alias("state"))
 
 
+def folder_digests(files: DataFrame) -> DataFrame:
+    """folder, n, h1, h2 of every folder of a tree ('' is its root) from the path and digest of its files.
+
+    A folder's digest stands for the set of all files below it, as a count and two exclusive sums of hashes: files add to the sums of
+    all folders above them where they are, so even the root is summed in parts by all tasks.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    h1, h2 = F.xxhash64("path", "digest"), F.xxhash64("digest", F.lit("\n"), "path")
+    return files.select(F.explode(above).alias("folder"), h1.alias("h1"), h2.alias("h2")).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+
+
+def tree_sync_by_folders(source: DataFrame, target: DataFrame) -> DataFrame:
+    """path and state (new, updated, in-sync, extra) of two trees, each given as path and digest of its files.
+
+    Folders whose digests agree are in sync with all they hold; only files of other folders are compared by name. Paths are
+    unique on either side.
+    """
+    a, b = source.select("path", "digest"), target.select("path", "digest")
+    same = folder_digests(a).join(folder_digests(b), ["folder", "n", "h1", "h2"]).select("folder", F.lit(True).alias("_same"))
+    own = F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1)
+    mark = lambda d: lookup(d.withColumn("folder", own), same, ["folder"]).drop("folder")
+    x, y = mark(a), mark(b)
+    rest = x.where("_same is null").select("path", F.col("digest").alias("_a")).join(y.where("_same is null").select("path", F.col("digest").alias("_b")), "path", "full")
+    state = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "extra").when(F.col("_a") == F.col("_b"), "in-sync").otherwise("updated")
+    return x.where("_same").select("path", F.lit("in-sync").alias("state")).unionByName(rest.select("path", state.alias("state")))
+
+
 def merge_citations(intext: DataFrame, reflist: DataFrame) -> DataFrame:
     """surname, year, intext, in_reflist, doi, title, unverified: the full outer join of mentions and reference list.
 
@@ -86,6 +115,7 @@ def bracket_tokens(drafts: DataFrame, text: Column) -> DataFrame:
 
 def tex_cites(drafts: DataFrame, text: Column) -> DataFrame:
     """draft columns, key and n of every cited key."""
+    # fixed value: the pattern of a citation command
     keys = drafts.select(*drafts.columns, F.explode(F.regexp_extract_all(text, F.lit(r"\\cite[tp]?\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))).alias("_group"))
     one = keys.select(*drafts.columns, F.explode(F.split("_group", ",")).alias("_k")).select(*drafts.columns, F.trim("_k").alias("key")).where("key <> ''")
     return one.groupBy(*drafts.columns, "key").agg(F.count(F.lit(1)).alias("n"))
@@ -93,6 +123,7 @@ def tex_cites(drafts: DataFrame, text: Column) -> DataFrame:
 
 def tex_bibitems(drafts: DataFrame, text: Column) -> DataFrame:
     """draft columns, key, author (first, without TeX), year (the last named), doi, title of every \\bibitem; the last of a key counts."""
+    # fixed values: the patterns of a bibliography item, of a title and of a year in it
     pattern = r"(?s)\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}(.*?)(?=\\bibitem|\\end\{thebibliography\})"
     keys, blocks = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     items = drafts.select(*drafts.columns, F.posexplode(F.arrays_zip(keys.alias("k"), blocks.alias("b"))).alias("_pos", "_i"))
@@ -113,7 +144,7 @@ def reference_blocks(drafts: DataFrame, refs: Column) -> DataFrame:
     flagged = F.lower("_b").contains("unable to verify")
     lines = F.filter(F.split(F.regexp_replace("_b", r"^\s+|\s+$", ""), "\n"), lambda x: ~F.lower(x).contains("unable to verify"))
     head = F.trim(F.array_join(lines, " "))
-    year = r"\((\d{4})[a-z]?\)"
+    year = r"\((\d{4})[a-z]?\)"  # fixed value: the pattern of a year in a reference
     rest = F.regexp_replace(F.regexp_extract(head, rf"(?s)^.*?{year}(.*)$", 2), r"^[ .]+", "")
     x = blocks.select(*drafts.columns, "pos", head.alias("head"), F.regexp_extract(head, year, 1).alias("year"), T.first_doi_in_brackets(head).alias("doi"), F.when(head.rlike(year), F.trim(F.split(rest, r"\.")[0])).otherwise("").alias("title"), flagged.alias("unverified"))
     return x.where("head <> ''")
@@ -122,7 +153,8 @@ def reference_blocks(drafts: DataFrame, refs: Column) -> DataFrame:
 def rewrite_citations(drafts: DataFrame, key: str, text: Column, matched: DataFrame) -> DataFrame:
     """``key``, body, converted, flagged: author-year tokens become @stem where matched(surname, year, stem) has them, else get a warning mark.
 
-    Texts are split at brackets, tokens joined, and put together again in order.
+    Texts are split at brackets, tokens looked up (a small library is broadcast, a large one joined with hot names salted), and put
+    together again in order. Of several stems of one name and year the smallest is taken.
     """
     from quillspark.functions.unicode import surname_key
 
@@ -133,7 +165,7 @@ def rewrite_citations(drafts: DataFrame, key: str, text: Column, matched: DataFr
     clean = F.trim(F.rtrim(F.trim("_t"), F.lit(" \u26a0")))
     tokens = tokens.select(key, "_i", "_j", F.trim("_t").alias("_raw"), clean.alias("_clean"), T.author_year(clean).alias("_ay"))
     tokens = tokens.select("*", surname_key(F.col("_ay.author")).alias("surname"), F.col("_ay.year").alias("year"))
-    tokens = tokens.join(matched.select("surname", "year", "stem"), ["surname", "year"], "left")
+    tokens = lookup(tokens, matched.groupBy("surname", "year").agg(F.min("stem").alias("stem")), ["surname", "year"])
     is_token = F.col("_ay.year") != ""
     new = F.when(~is_token, F.col("_raw")).when(F.col("stem").isNotNull(), F.concat(F.lit("@"), "stem")).otherwise(F.concat("_clean", F.lit(" \u26a0")))
     groups = tokens.groupBy(key, "_i").agg(F.array_sort(F.collect_list(F.struct("_j", new.alias("n")))).alias("_l"), F.count_if(is_token & F.col("stem").isNotNull()).alias("_c"), F.count_if(is_token & F.col("stem").isNull()).alias("_f"))

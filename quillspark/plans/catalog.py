@@ -541,6 +541,18 @@ def j19_tree_sync(t):
     return reconcile.tree_sync(t.documents.select(c("doc_id").alias("path"), c("text").alias("content")), t.benchmark.select(c("item_id").alias("path"), c("text").alias("content")))
 
 
+@query("""WITH a AS (SELECT lang || '/' || source || '/d' || doc_id AS path, sha256(text) AS h FROM documents),
+b AS (SELECT lang || '/' || source || '/d' || doc_id AS path, sha256(CASE WHEN source = 'src3' AND n_chars % 2 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE source <> 'src5' OR n_chars % 3 > 0 UNION ALL SELECT 'en/extra/b' || item_id, sha256(text) FROM benchmark)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'extra' WHEN a.h = b.h THEN 'in-sync' ELSE 'updated' END AS state FROM a FULL JOIN b ON a.path = b.path""")
+def j19_tree_sync_by_folders(t):
+    """Documents as files in folders of language and source, against a copy in which one source was edited, one thinned out and a folder added."""
+    d, sha = t.documents, lambda x: F.sha2(x.cast("binary"), 256).alias("digest")
+    path = text_of(c("lang"), "/", c("source"), "/d", c("doc_id")).alias("path")
+    edited = F.when((c("source") == "src3") & (c("n_chars") % 2 == 0), F.concat("text", lit("."))).otherwise(c("text"))
+    copy = d.where("source <> 'src5' or n_chars % 3 > 0").select(path, sha(edited)).unionByName(t.benchmark.select(text_of("en/extra/b", c("item_id")).alias("path"), sha(c("text"))))
+    return reconcile.tree_sync_by_folders(d.select(path, sha(c("text"))), copy)
+
+
 @query(f"WITH {_TREE} SELECT bool_or(b.path IS NULL OR a.path IS NULL OR a.h <> b.h) AS differs FROM a FULL JOIN b ON a.path = b.path")
 def a20_any_drift(t):
     return QUERIES["j19_tree_sync"](t.spark, t.folder).agg(F.bool_or(c("state") != "in-sync").alias("differs"))
@@ -1003,9 +1015,10 @@ def f21_rekey(t):
     return t.part.select("p_partkey", T.with_key(text_of("@article{Old_2000, title={A, B}, year={2000}}"), text_of("key", c("p_partkey"))).alias("entry"))
 
 
-@query("SELECT p_partkey, '@misc{k, title={A}, journal={Server ' || p_partkey || '}, note={Preprint} }' AS entry FROM part")
+@query("SELECT p_partkey, '@misc{' || p_brand || ', title={' || p_name || '}, journal={' || p_type || ' Server}, note={Preprint} }' AS entry FROM part")
 def f22_add_venue(t):
-    return t.part.select("p_partkey", T.with_venue(lit("@misc{k, title={A}, \n}  "), text_of("Server ", c("p_partkey"))).alias("entry"))
+    entry = text_of("@misc{", c("p_brand"), ", title={", c("p_name"), "}, \n}  ")
+    return t.part.select("p_partkey", T.with_venue(entry, text_of(c("p_type"), " Server")).alias("entry"))
 
 
 @query("SELECT p_partkey, '@a{k, title={ $\\beta$ -cell \\& H$^\\circ$ ' || p_partkey || '--9 }, year={1}}' AS entry FROM part")
@@ -1013,9 +1026,9 @@ def f23_typesettable(t):
     return t.part.select("p_partkey", T.typesettable(text_of("@a{k, title={<i>β</i>-cell &amp;  H° ", c("p_partkey"), "–9<x>}, url={http://a_b}, DOI={10.1/a_b}, year={1}}")).alias("entry"))
 
 
-@query("SELECT p_partkey, '{ATP} waves in {Ca2+} and {Rett} model {Ca} 2' || p_partkey AS title FROM part")
+@query("SELECT p_partkey, '{' || p_type || '} waves of ' || p_name || ' in {' || p_type || '2+} and {Rett} model {Ca} 2' || p_partkey AS title FROM part")
 def f24_protect_capitals(t):
-    return t.part.select("p_partkey", T.protect_capitals(text_of("ATP waves in Ca2+ and Rett model Ca 2", c("p_partkey"))).alias("title"))
+    return t.part.select("p_partkey", T.protect_capitals(text_of(c("p_type"), " waves of ", c("p_name"), " in ", c("p_type"), "2+ and Rett model Ca 2", c("p_partkey"))).alias("title"))
 
 
 @query("SELECT p_partkey, '@article{k' || p_partkey || ',\n  title = {' || p_name || '},\n  author = {},\n  year = {' || p_size || '},\n  journal = {},\n}' AS entry FROM part")
@@ -1062,11 +1075,13 @@ def f28_field_upsert(t):
     return notes(t).select("c_custkey", T.front_value(front, "refs_source").alias("refs_source"), T.front_value(front, "source").alias("source"))
 
 
-@query("SELECT o_custkey, count(*) FILTER (year(o_orderdate) >= 0) AS tokens FROM orders GROUP BY 1")
+@query(f"WITH {_PAPERS}, lib AS (SELECT DISTINCT {_SPELLED} AS surname, year FROM papers WHERE o_orderpriority = '1-URGENT'), x AS (SELECT p.*, l.surname IS NOT NULL AS known, {_SPELLED} AS s FROM papers p LEFT JOIN lib l ON l.surname = {_SPELLED} AND l.year = p.year) SELECT o_custkey, string_agg(CASE WHEN known THEN '[@' || s || year || '; see 0.1]' ELSE '[' || upper(s[1]) || s[2:] || CASE WHEN o_orderkey % 3 = 0 THEN ' et al. ' || year ELSE ' ' || year || 'b' END || ' ⚠; see 0.1]' END, ' ' ORDER BY o_orderkey) AS groups FROM x GROUP BY 1")
 def f29_group_rewrite(t):
+    """The rewritten groups of every draft, against a library of the names and years of urgent orders."""
     d = drafts(t).select("o_custkey", T.body_and_references(c("draft"))["body"].alias("body"))
-    none = t.spark.createDataFrame([], "surname string, year string, stem string")
-    return reconcile.rewrite_citations(d, "o_custkey", c("body"), none).select("o_custkey", F.regexp_count("body", lit("⚠")).cast("bigint").alias("tokens"))
+    lib = keyed_orders(t).where("o_orderpriority = '1-URGENT'").select(spelled(c("n_name")).alias("surname"), c("year").cast("string").alias("year")).distinct()
+    out = reconcile.rewrite_citations(d, "o_custkey", c("body"), lib.select("surname", "year", F.concat("surname", "year").alias("stem")))
+    return out.select("o_custkey", F.array_join(F.regexp_extract_all("body", lit(r"\[[^\]]*; see 0[.]1\]"), lit(0)), " ").alias("groups"))
 
 
 @query("SELECT o_custkey, 'Work on orders of ' || o_custkey AS query, 1 AS rank FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'calcium wave', 2 FROM orders GROUP BY 1 HAVING count(*) >= 2")
@@ -1271,19 +1286,20 @@ def s14_triage_file(t):
 
 
 def _folder(t):
+    """Two files for each supplier, in a folder of its nation, written by the tasks that hold their rows."""
     root = files.scratch(t.spark)
-    for r in t.nation.select("n_nationkey", "n_regionkey").collect():  # 25 files
-        files.put(t.spark, f"{root}/r{r.n_regionkey}/n{r.n_nationkey}.tei.xml", "x" * (r.n_nationkey + 1))
-        files.put(t.spark, f"{root}/r{r.n_regionkey}/n{r.n_nationkey}.md", "note")
+    name = text_of("r", c("s_nationkey"), "/s", c("s_suppkey"))
+    xml = t.supplier.select(F.concat(name, lit(".tei.xml")).alias("path"), F.repeat(lit("x"), (c("s_suppkey") % 50 + 1).cast("int")).alias("content"))
+    files.write_files(xml.unionByName(t.supplier.select(F.concat(name, lit(".md")).alias("path"), lit("note").alias("content"))), root)
     return root
 
 
-@query("SELECT 'n' || n_nationkey AS stem FROM nation")
+@query("SELECT 's' || s_suppkey AS stem FROM supplier")
 def s26_directory_stems(t):
     return files.stems(t.spark, _folder(t), ".tei.xml", True)
 
 
-@query("SELECT 'r' || n_regionkey || '/n' || n_nationkey || e.x AS path, CASE WHEN e.x = '.md' THEN 4 ELSE n_nationkey + 1 END::INT AS size FROM nation, (VALUES ('.md'), ('.tei.xml')) e(x)")
+@query("SELECT 'r' || s_nationkey || '/s' || s_suppkey || e.x AS path, CASE WHEN e.x = '.md' THEN 4 ELSE s_suppkey % 50 + 1 END::INT AS size FROM supplier, (VALUES ('.md'), ('.tei.xml')) e(x)")
 def s27_tree(t):
     return files.tree(t.spark, _folder(t)).select("path", F.length("content").alias("size"))
 

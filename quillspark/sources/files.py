@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import pyarrow as pa
@@ -198,6 +199,40 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.expr("regexp_replace(path, '^file:/*', '/')").alias("_p"), "content").select(F.substr("_p", F.length(base) + 2).alias("path"), "content")
 
 
+def file_digests(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """path (relative), size, modified, digest and read of all files below a folder, but for empty ones.
+
+    known: the result for an earlier state of the folder. A file of the same size and time keeps the digest that it has there; only others are
+    read (``read``), each as a stream by the task that owns its row. The listing itself opens no file.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
+    whole = F.expr("regexp_replace(path, '^file:/*', '/')")
+    rows = listing.select(F.substr(whole, F.length(base) + 2).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if known is not None:
+        rows = rows.join(known.select("path", "size", "modified", F.col("digest").alias("_old")), ["path", "size", "modified"], "left")
+    else:
+        rows = rows.withColumn("_old", F.lit(None).cast("string"))
+    rows = staged(rows)
+
+    def run(batches):
+        store, folder = _store(root)
+        for b in batches:
+            found = []
+            for name in b.column(0).to_pylist():
+                sha = hashlib.sha256()
+                with store.open_input_stream(f"{folder}/{name}") as data:
+                    while chunk := data.read(1 << 20):
+                        sha.update(chunk)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "digest"])
+
+    ship(spark)
+    fresh = rows.where("_old is null").select("path", "size", "modified").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    fresh = fresh.mapInArrow(run, "path string, size bigint, modified timestamp, digest string").withColumn("read", F.lit(True))
+    return staged(rows.where("_old is not null").select("path", "size", "modified", F.col("_old").alias("digest"), F.lit(False).alias("read")).unionByName(fresh))
+
+
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:
     """stem and the parsed fields of article XML files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
-from quillspark.operators import decide, discover, graph, keys, matching, ranking, reconcile, triage
+from quillspark.operators import decide, discover, graph, joins, keys, matching, ranking, reconcile, triage
 from quillspark.plans import catalog
 from quillspark.sources import files, landed, pages
 
@@ -193,6 +193,15 @@ def test_titles_in_pages(spark):
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "Join Cross" not in plan
 
 
+def test_lookup(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(None, -1), ("b", -2), ("none", -3)], "k string, i int").repartition(4)
+    table = spark.createDataFrame([("hot", "x"), ("b", "y"), ("c", "z"), (None, "n")], "k string, v string")
+    want = sorted((i, {"hot": "x", "b": "y"}.get(k)) for k, i in ((r.k, r.i) for r in rows.collect()))
+    for most in (100, 1):  # broadcast, salted
+        got = joins.lookup(rows, table, ["k"], most)
+        assert sorted((r.i, r.v) for r in got.collect()) == want and got.columns == ["k", "i", "v"]
+
+
 def test_phrases(spark):
     text = "Calcium wave 2 model. Calcium wave in a tissue; gap junction, gap junction"
     got = discover.top_phrases(spark.createDataFrame([(1, text)], "k int, t string"), "k", c("t")).orderBy("rank").collect()
@@ -443,6 +452,44 @@ def test_project_export(spark, tmp_path):
     assert (tmp_path / "out" / "a.xml").read_bytes() == (lib / "a.xml").read_bytes() and len(list(lib.rglob("*"))) == 3
 
 
+def test_trees_by_folders(spark):
+    rng = random.Random(6)
+    names = [f"{rng.choice('abc')}/{rng.choice('xy')}/{i}" for i in range(200)] + ["top", "a/one", "deep/er/and/deeper/f"]
+    a = {n: f"h{rng.randint(0, 9)}" for n in names}
+    b = dict(a) | {n: "changed" for n in names if n.startswith("b/x/") and n.endswith("3")} | {"new/only": "h", "c/y/more": "h"}
+    for n in names:
+        if n.startswith("a/y/") and n.endswith("7"):
+            del b[n]
+    make = lambda d: spark.createDataFrame(list(d.items()), "path string, digest string")
+    state = lambda n: "new" if n not in b else "extra" if n not in a else "in-sync" if a[n] == b[n] else "updated"
+    got = reconcile.tree_sync_by_folders(make(a), make(b))
+    assert {r.path: r.state for r in got.collect()} == {n: state(n) for n in {*a, *b}} and got.count() == len({*a, *b})
+    assert {r.state for r in reconcile.tree_sync_by_folders(make(a), make(a)).collect()} == {"in-sync"}
+    folders = {r.folder: r.n for r in reconcile.folder_digests(make(a)).collect()}
+    assert folders[""] == len(a) and folders["deep/er/and"] == 1
+
+
+def test_file_digests_read_what_changed(spark, tmp_path):
+    import hashlib
+    import os
+
+    root = tmp_path / "tree"
+    for i in range(30):
+        (root / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (root / f"d{i % 3}" / f"f{i}").write_text(f"text {i}" * (i + 1))
+    first = files.file_digests(spark, f"file://{root}")
+    want = {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in root.rglob("f*")}
+    assert {r.path: r.digest for r in first.collect()} == want and first.where("not read").count() == 0
+    (root / "d1" / "f4").write_text("changed")
+    (root / "d2" / "f5").unlink()
+    (root / "d0" / "new").write_text("n")
+    os.utime(root / "d0" / "f0", (1, 1))
+    again = files.file_digests(spark, f"file://{root}", first)
+    assert {r.path for r in again.where("read").collect()} == {"d1/f4", "d0/new", "d0/f0"} and again.count() == 30
+    sync = {r.path: r.state for r in reconcile.tree_sync_by_folders(again, first).where("state <> 'in-sync'").collect()}
+    assert sync == {"d1/f4": "updated", "d0/new": "new", "d2/f5": "extra"}
+
+
 def test_landed_payloads(spark):
     assert one(spark, landed.first_hit(lit('{"resultList":{"result":[]}}'))) is None
     assert one(spark, landed.references(lit('{"message":{"reference":[{"DOI":"10.1/A"},{"DOI":" 10.1/a "},{},{"DOI":"10.2/b"}]}}'))) == ["10.1/A", "10.2/b"]
