@@ -149,6 +149,16 @@ def signatures(docs: DataFrame, k: int, percent: int, order: tuple) -> DataFrame
     return docs.select("doc_id", "_text").mapInArrow(tidied(run), "doc_id bigint, n bigint, s1 bigint, s2 bigint, _prefix array<bigint>")
 
 
+#: Seeds that a task sorts at most, on average (24 bytes each, a few copies).
+TASK_SEEDS = 2_000_000
+
+
+def seed_parts(own: DataFrame) -> int:
+    """Tasks that seeds are dealt to: as many as their number asks for, those of a shuffle at least."""
+    seeds = own.agg(F.sum(F.size("_prefix"))).first()[0] or 0
+    return max(width(own.sparkSession), -(-seeds // TASK_SEEDS))
+
+
 def regions(own: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
     """g, x, n, pos: members of the regions that can hold a linked pair, and the seed's place in theirs. own: x, n, _prefix.
 
@@ -156,7 +166,7 @@ def regions(own: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
     (each member in its own class and the next), so none of them is gathered in one place.
     """
     spark = own.sparkSession
-    parts = width(spark)
+    parts = seed_parts(own)
     shared = spark.sparkContext.broadcast(hot)
     step = -np.log(percent / 100) if percent < 100 else 1e-6
 

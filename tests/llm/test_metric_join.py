@@ -168,3 +168,9 @@ def test_keep_one(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.groups(docs).count() == 0 and M.keep_one(docs).count() == 0
+
+
+def test_tasks_grow_with_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_SEEDS", 100)
+    own = lambda n: spark.range(n).selectExpr("id as x", "id as n", "array(id, id + 1, id + 2, id + 3) as _prefix")
+    assert [M.seed_parts(own(n)) for n in (0, 10, 1000, 2000, 4000)] == [12, 12, 40, 80, 160]
