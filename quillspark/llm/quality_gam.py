@@ -9,7 +9,8 @@ so a batch is scored by bin lookups and additions.
 The model is fitted on the driver on at most ``max_labels`` labelled rows (those with the smallest
 hash of their id); everything else covers all rows. Labels of held-out rows are never read into it.
 Without labels every score is 0.5. Null and empty texts have zero features and are scored like any
-other. Rows with a null id or label are not trained on; repeated labels of one id count once (their minimum).
+other. Rows with a null id or label are not trained on; repeated labels and
+repeated rows of one id count once (the least of each).
 """
 
 from __future__ import annotations
@@ -185,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["_id", "_y", *FEATURES])
 
-    got = rows.mapInArrow(tidied(run), "_id bigint, _y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values("_id", kind="stable")
+    found = rows.mapInArrow(tidied(run), "_id bigint, _y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    one = found.groupBy("_id").agg(F.min(F.struct("_y", *FEATURES)).alias("r")).select("_id", "r.*")  # an id that many rows share is one row of the sample
+    got = one.toPandas().sort_values("_id", kind="stable")
     return fit(got[list(FEATURES)].to_numpy(np.float64), got["_y"].to_numpy(np.float64))
 
 

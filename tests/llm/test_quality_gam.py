@@ -41,3 +41,11 @@ def test_lookup_sum_is_the_score():
     b = m.bins(x[:1])[0]
     margin = m.base + sum(t[b[k]] for k, t in enumerate(m.tables)) + sum(t[b[i], b[j]] for i, j, t in m.pairs)
     assert np.isclose(m.score(x[:1])[0], 1 / (1 + np.exp(-margin)))
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(i, good(i) if i % 2 else bad(i)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    once = G.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = G.train(spark.createDataFrame(rows + [rows[3]] * 500, "doc_id long, text string"), labels)
+    assert once.base == often.base and all((a == b).all() for a, b in zip(once.tables, often.tables))
