@@ -116,7 +116,7 @@ def a06_distinct_seeds(t):
 
 @query("WITH r AS (SELECT l_orderkey AS seed, l_partkey AS other, l_extendedprice AS weight, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) SELECT * FROM r WHERE rank <= 3")
 def w08_top_per_seed(t):
-    x = t.lineitem.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber"))).where("rank <= 3")
+    x = graph.top(t.lineitem, ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 3)
     return x.select(c("l_orderkey").alias("seed"), c("l_partkey").alias("other"), c("l_extendedprice").alias("weight"), "rank")
 
 
@@ -1149,7 +1149,10 @@ def s05_doi_lines(t):
 @query("SELECT o_custkey, 'Ca2+ wave ' || o_custkey AS title, 'Name' AS surname, 'plain' AS abstract, string_agg('10.1/o' || o_orderkey, ',' ORDER BY o_orderkey) AS cited FROM orders GROUP BY 1")
 def s06_article_scan(t):
     refs = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(lit('<ref><pub-id pub-id-type="doi">10.1/o'), k.cast("string"), lit('</pub-id><pub-id pub-id-type="doi"> 10.1/O'), k.cast("string"), lit('</pub-id><pub-id pub-id-type="pmid">1</pub-id></ref>'))), "").alias("r"))
-    xml = F.concat(lit("<article><front><article-title>Ca<sup>2+</sup> wave\n "), c("o_custkey").cast("string"), lit('</article-title><contrib><surname>Name</surname></contrib><contrib><surname>Other</surname></contrib><abstract abstract-type="toc"><p>typed</p></abstract><abstract><p>plain</p></abstract></front><back><ref-list>'), "r", lit("</ref-list></back></article>"))
+    head = lit('<article><front><related><article-title>Another</article-title></related><article-meta><article-title>Ca<sup>2+</sup> wave\n ')
+    people = lit('</article-title><contrib-group><contrib contrib-type="editor"><surname>Editor</surname></contrib><contrib><surname>Name</surname></contrib><contrib contrib-type="author"><surname>Other</surname></contrib></contrib-group>')
+    abstracts = lit('<abstract abstract-type="toc"><p>typed</p></abstract><abstract><p>plain</p></abstract></article-meta></front><back><ref-list>')
+    xml = F.concat(head, c("o_custkey").cast("string"), people, abstracts, "r", lit("</ref-list></back></article>"))
     return refs.select("o_custkey", U.article_xml(xml.cast("binary")).alias("a")).select("o_custkey", "a.title", "a.surname", "a.abstract", F.array_join("a.cited", ",").alias("cited"))
 
 
