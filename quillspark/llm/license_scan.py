@@ -23,6 +23,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.joins import lookup
+
 from .common import staged
 
 THRESHOLD = 0.6
@@ -228,15 +230,17 @@ def ancestors(folder: Column) -> Column:
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """_file, path, own_license, own_score, license, origin (own, inherited or none) and license_dir of files (_file, path, text)."""
     files = files.select("_file", "path", "text", F.xxhash64("_file", "path", "text").alias("_key"))
-    own = staged(detected(files, templates, threshold), "licences")
+    own = detected(files, templates, threshold)
     named = files.select("_file", "path", "_key").join(own, "_key", "left").drop("_key").withColumn("_dir", directory(F.col("path")))
+    named = staged(named, "licences")
     held = named.where(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_NAME))
     held = held.groupBy(F.col("_dir").alias("license_dir")).agg(F.max_by("license", F.struct("score", F.expr("-_file"))).alias("dir_license"))
     # each directory finds its licence once, whatever number of files it has
     folders = named.where("_dir is not null").select("_dir").distinct()
     steps = folders.select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("step", "license_dir"))
-    nearest = steps.join(held, "license_dir").groupBy("_dir").agg(F.min(F.struct("step", "license_dir", "dir_license")).alias("near"))
-    out = named.join(nearest, "_dir", "left")
+    # a directory above a third of all others, or one that holds as many files, is dealt over several tasks
+    nearest = lookup(steps, held, ["license_dir"]).where("dir_license is not null").groupBy("_dir").agg(F.min(F.struct("step", "license_dir", "dir_license")).alias("near"))
+    out = lookup(named, nearest, ["_dir"])
     has, gets = F.col("license").isNotNull(), F.col("near").isNotNull()
     return out.select(
         "_file", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"), F.coalesce("license", "near.dir_license").alias("license"),
