@@ -578,11 +578,11 @@ def j21_cache_misses(t):
 # ---------------------------------------------------------------- citations of a draft
 
 
-_STATUS = """cit AS (SELECT 'k' || c_custkey AS key, c_name AS surname, c_acctbal::INT::VARCHAR AS year, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'D' || c_custkey || '. ' END AS doi FROM customer
- UNION ALL SELECT 'k' || s_suppkey, s_name, s_acctbal::INT::VARCHAR, NULL FROM supplier),
+_STATUS = """cit AS (SELECT 'k' || c_custkey AS key, c_name AS surname, floor(c_acctbal)::INT::VARCHAR AS year, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'D' || c_custkey || '. ' END AS doi FROM customer
+ UNION ALL SELECT 'k' || s_suppkey, s_name, floor(s_acctbal)::INT::VARCHAR, NULL FROM supplier),
 keyed AS (SELECT DISTINCT 'k' || o_custkey AS stem FROM orders WHERE o_orderpriority = '1-URGENT'),
-lib AS (SELECT surname, year, list_sort(list(DISTINCT stem)) AS stems FROM (SELECT c_name AS surname, c_acctbal::INT::VARCHAR AS year, 's' || c_nationkey AS stem FROM customer WHERE c_acctbal < 3000
- UNION ALL SELECT s_name, s_acctbal::INT::VARCHAR, 's' || s_nationkey FROM supplier UNION ALL SELECT s_name, s_acctbal::INT::VARCHAR, 'z' FROM supplier WHERE s_acctbal < 2000) GROUP BY 1, 2),
+lib AS (SELECT surname, year, list_sort(list(DISTINCT stem)) AS stems FROM (SELECT c_name AS surname, floor(c_acctbal)::INT::VARCHAR AS year, 's' || c_nationkey AS stem FROM customer WHERE c_acctbal < 3000
+ UNION ALL SELECT s_name, floor(s_acctbal)::INT::VARCHAR, 's' || s_nationkey FROM supplier UNION ALL SELECT s_name, floor(s_acctbal)::INT::VARCHAR, 'z' FROM supplier WHERE s_acctbal < 2000) GROUP BY 1, 2),
 dois AS (SELECT 'd' || o_custkey AS doi, arg_max('s' || o_orderkey, o_orderkey) AS stem FROM orders GROUP BY 1),
 res AS (SELECT c.key AS cited, c.surname, c.year, CASE WHEN k.stem IS NOT NULL OR d.stem IS NOT NULL OR len(l.stems) = 1 THEN 'MATCHED' WHEN len(l.stems) > 1 THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status,
  CASE WHEN k.stem IS NOT NULL THEN k.stem WHEN d.stem IS NOT NULL THEN d.stem WHEN len(l.stems) = 1 THEN l.stems[1] END AS stem,
@@ -593,18 +593,18 @@ res AS (SELECT c.key AS cited, c.surname, c.year, CASE WHEN k.stem IS NOT NULL O
 def statuses(t: Tables) -> DataFrame:
     """Citations of every customer and supplier against a library of keys (urgent orders), DOIs (all orders; the last of a customer counts) and names."""
     doi = F.when(c("c_mktsegment") == "MACHINERY", text_of("D", c("c_custkey"), ". "))
-    cit = t.customer.select(text_of("k", c("c_custkey")).alias("key"), c("c_name").alias("surname"), _rounded("c_acctbal"), doi.alias("doi"), lit("").alias("title"))
-    cit = cit.unionByName(t.supplier.select(text_of("k", c("s_suppkey")).alias("key"), c("s_name").alias("surname"), _rounded("s_acctbal"), lit(None).cast("string").alias("doi"), lit("").alias("title")))
+    cit = t.customer.select(text_of("k", c("c_custkey")).alias("key"), c("c_name").alias("surname"), _whole("c_acctbal"), doi.alias("doi"), lit("").alias("title"))
+    cit = cit.unionByName(t.supplier.select(text_of("k", c("s_suppkey")).alias("key"), c("s_name").alias("surname"), _whole("s_acctbal"), lit(None).cast("string").alias("doi"), lit("").alias("title")))
     keyed = t.orders.where("o_orderpriority = '1-URGENT'").select(text_of("k", c("o_custkey")).alias("stem"), lit("").alias("surname"), lit("").alias("year"), lit("").alias("title"))
-    stems = t.customer.where("c_acctbal < 3000").select(text_of("s", c("c_nationkey")).alias("stem"), c("c_name").alias("surname"), _rounded("c_acctbal"), lit("").alias("title"))
-    named = lambda stem, d: d.select(stem.alias("stem"), c("s_name").alias("surname"), _rounded("s_acctbal"), lit("").alias("title"))
+    stems = t.customer.where("c_acctbal < 3000").select(text_of("s", c("c_nationkey")).alias("stem"), c("c_name").alias("surname"), _whole("c_acctbal"), lit("").alias("title"))
+    named = lambda stem, d: d.select(stem.alias("stem"), c("s_name").alias("surname"), _whole("s_acctbal"), lit("").alias("title"))
     stems = stems.unionByName(named(text_of("s", c("s_nationkey")), t.supplier)).unionByName(named(lit("z"), t.supplier.where("s_acctbal < 2000"))).unionByName(keyed)
     dois = t.orders.select(text_of("d", c("o_custkey")).alias("doi"), text_of("s", c("o_orderkey")).alias("stem"), c("o_orderkey").alias("pos"))
     return reconcile.match_citations(cit, stems, dois)
 
 
-def _rounded(money: str) -> Column:
-    return F.round(money).cast("int").cast("string").alias("year")
+def _whole(money: str) -> Column:
+    return F.floor(money).cast("int").cast("string").alias("year")
 
 
 @query(f"WITH {_PAPERS}, {_STATUS} SELECT * FROM res")
