@@ -2,48 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.functions import text as T
 from quillspark.functions import unicode as U
 from quillspark.operators.triage import as_of
+from quillspark.shipping import ship
 from quillspark.staging import staged
 
 
-def contained_titles(titles: DataFrame, pages: DataFrame, title: str = "title", page: str = "page", words: str = "words", percent: int = 60) -> DataFrame:
+#: Words of the titles that one task holds at a time.
+TITLE_WORDS = 3_000_000
+#: Pairs that a task hands on at a time.
+PAIRS = 500_000
+
+
+def contained_titles(titles: DataFrame, pages: DataFrame, title: str = "title", page: str = "page", words: str = "words", percent: int = 60, most: int = TITLE_WORDS) -> DataFrame:
     """``title``, ``page`` and shared: pages that hold at least ``percent`` of a title's distinct words. Titles without words match nothing.
 
-    titles: an id and an array of words; pages: the same. A containment join with an asymmetric prefix: of n words at least
-    k = ceil(n * percent / 100) must be there, so any n - k + 1 of them hold one that is; the title side sends its rarest n - k + 1, the page side
-    all words that some title sends. Equal sets of words, on either side, are joined once and dealt out again at the end.
-    Candidates are counted exactly, word by word: no page's words are ever gathered for a title.
+    titles: an id and an array of words; pages: the same. Titles are dealt into blocks of about ``most`` words, pages into as many parts as
+    keep all cores busy; each task has one block and one part. It indexes its titles by word and counts, for one page after the other, the words that
+    each title shares with it. Only titles and pages move, each page once a block and each title once a part: no pair is shuffled or
+    stored before it is known to hold, and none is left out. Pages stream through, so a task's memory is that of its titles.
     """
-    t, p = _classes(titles, title, words), _classes(pages, page, words)
-    # how many pages hold a word; a word that no page holds is the rarest of all
-    held = staged(p.kinds.select("_c", F.explode("_w").alias("_x")))
-    known = held.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
-    own = t.kinds.withColumn("_size", F.size("_w")).where("_size > 0").withColumn("_k", F.ceil(F.col("_size") * percent / 100).cast("int"))
-    each = own.select(F.col("_c").alias("_t"), "_size", "_k", F.explode("_w").alias("_x"))
-    ranked = each.join(known, "_x", "left").groupBy("_t", "_size", "_k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_x").alias("x")))).alias("_l"))  # one title's words
-    # words that no page holds cannot be among the shared ones: too many of them and the title matches nothing
-    ranked = staged(ranked.where(F.size(F.filter("_l", lambda e: e["n"] > 0)) >= F.col("_k")))
-    sent = ranked.select("_t", F.explode(F.slice("_l", F.lit(1), F.col("_size") - F.col("_k") + 1)).alias("_e")).where("_e.n > 0").select("_t", F.col("_e.x").alias("_x"))
-    pairs = sent.join(held, "_x").select("_t", "_c").distinct()
-    words_of = ranked.select("_t", "_k", F.explode("_l").alias("_e")).select("_t", "_k", F.col("_e.x").alias("_x"))
-    shared = pairs.join(words_of, "_t").join(held, ["_c", "_x"]).groupBy("_t", "_c", "_k").agg(F.count(F.lit(1)).alias("shared")).where("shared >= _k")
-    found = shared.join(t.members.withColumnRenamed("_c", "_t"), "_t").join(p.members, "_c")
-    return found.select(title, page, "shared")
-
-
-class _classes:
-    """kinds: _c and _w, a row for each set of words; members: the ids of each _c."""
-
-    def __init__(self, rows: DataFrame, key: str, words: str):
-        sets = F.array_sort(F.array_distinct(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull())))
-        x = staged(rows.select(key, sets.alias("_w")).withColumn("_c", F.sha2(F.array_join("_w", "\n").cast("binary"), 256)))
-        self.members = x.select(key, "_c")
-        self.kinds = x.select("_c", "_w").dropDuplicates(["_c"])
+    spark = titles.sparkSession
+    ship(spark)
+    sets = F.array_distinct(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull()))
+    t, p = (x.select(F.col(key).alias("_id"), sets.alias("_words")).where(F.size("_words") > 0) for x, key in ((titles, title), (pages, page)))
+    blocks = -(-(t.agg(F.sum(F.size("_words"))).first()[0] or 1) // most)
+    parts = -(-3 * spark.sparkContext.defaultParallelism // blocks)
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = [titles.schema[title].dataType, pages.schema[page].dataType]
+    t = t.withColumn("_block", dealt(blocks)).withColumn("_part", every(parts)).withColumn("_page", F.lit(None).cast(kinds[1])).withColumnRenamed("_id", "_title")
+    p = p.withColumn("_part", dealt(parts)).withColumn("_block", every(blocks)).withColumn("_title", F.lit(None).cast(kinds[0])).withColumnRenamed("_id", "_page")
+    columns = [(F.col("_block") * parts + F.col("_part")).alias("_task"), "_title", "_page", "_words"]
+    both = t.select(*columns, F.lit(False).alias("_is_page")).union(p.select(*columns, F.lit(True).alias("_is_page")))
+    met = both.repartitionById(blocks * parts, F.col("_task")).sortWithinPartitions("_task", "_is_page").mapInArrow(_meeting(percent), StructType([StructField("_title", kinds[0]), StructField("_page", kinds[1]), StructField("shared", LongType())]))
+    return met.select(F.col("_title").alias(title), F.col("_page").alias(page), "shared")
+
+
+def _meeting(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows ordered by task, titles before pages: the pairs of each task that hold."""
+
+    def run(batches):
+        task, held, index = None, [], None
+        for batch in batches:
+            kinds = 2 * batch["_task"].to_numpy().astype("int64") + batch["_is_page"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for i, j in pairwise(edges) if len(kinds) else ():
+                rows = batch.slice(i, j - i)
+                if kinds[i] // 2 != task:
+                    task, held, index = kinds[i] // 2, [], None
+                if not kinds[i] % 2:
+                    held.append(rows.select(["_title", "_words"]))
+                elif held or index:
+                    index, held = index or _Index(held, percent), []
+                    yield from index.meet(rows)
+
+    return run
+
+
+class _Index:
+    """Titles by word."""
+
+    def __init__(self, rows: list[pa.RecordBatch], percent: int):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        self.ids, words = table["_title"], table["_words"].chunk(0)
+        sizes = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        self.vocabulary = coded.dictionary
+        self.needs = np.maximum(np.ceil(sizes * percent / 100), 1).astype("int64")
+        self.titles = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(codes, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.vocabulary)))])
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = rows["_words"]
+        sizes = pc.list_value_length(words).to_numpy()
+        known = pc.fill_null(pc.index_in(words.flatten(), self.vocabulary), -1).to_numpy()
+        found, n = [], 0
+        for at, codes in enumerate(np.split(known, np.cumsum(sizes)[:-1])):
+            lists = [self.titles[self.starts[k] : self.starts[k + 1]] for k in codes[codes >= 0].tolist()]
+            if lists:
+                shared = np.bincount(np.concatenate(lists), minlength=len(self.needs))
+                hits = np.flatnonzero(shared >= self.needs)
+                found.append((hits, np.full(len(hits), at), shared[hits]))
+                n += len(hits)
+            if n >= PAIRS:
+                yield self._pairs(found, rows)
+                found, n = [], 0
+        if n:
+            yield self._pairs(found, rows)
+
+    def _pairs(self, found: list, rows: pa.RecordBatch) -> pa.RecordBatch:
+        titles, pages, shared = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids = self.ids.take(pa.array(titles)).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, rows["_page"].take(pa.array(pages)), pa.array(shared, pa.int64())], ["_title", "_page", "shared"])
 
 
 #: Letters, digits and the underscore, as parts of a word.

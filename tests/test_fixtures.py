@@ -193,6 +193,31 @@ def test_titles_in_pages(spark):
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "Join Cross" not in plan
 
 
+def shuffled(spark):
+    """Bytes of shuffle files written so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_titles_in_pages_by_blocks(spark):
+    rng = random.Random(2)
+    titles = [(f"t{i}", [f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 7))]) for i in range(120)]
+    pages = [(float(i), [f"w{rng.randint(0, 20)}" for _ in range(rng.randint(0, 15))]) for i in range(90)]
+    got = matching.contained_titles(spark.createDataFrame(titles, "title string, words array<string>"), spark.createDataFrame(pages, "page double, words array<string>"), most=40)
+    want = sorted((i, j, len(set(a) & set(b))) for i, a in titles for j, b in pages if a and 5 * len(set(a) & set(b)) >= 3 * len(set(a)))
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 500
+    assert matching.contained_titles(spark.createDataFrame([], "title string, words array<string>"), spark.createDataFrame(pages, "page double, words array<string>")).collect() == []
+
+
+def test_titles_in_pages_shuffles_no_pairs(spark):
+    common = ["alpha", "beta", "gamma", "delta"]
+    titles = spark.range(400).select(F.col("id").alias("title"), F.array(*map(lit, common), F.concat(lit("t"), "id")).alias("words"))
+    pages = spark.range(400).select(F.col("id").alias("page"), F.array(*map(lit, common), F.concat(lit("p"), "id")).alias("words"))
+    before = shuffled(spark)
+    assert matching.contained_titles(titles, pages).where("shared = 4").count() == 160_000
+    assert shuffled(spark) - before < 8 * 160_000
+
+
 def test_lookup(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(None, -1), ("b", -2), ("none", -3)], "k string, i int").repartition(4)
     table = spark.createDataFrame([("hot", "x"), ("b", "y"), ("c", "z"), (None, "n")], "k string, v string")
