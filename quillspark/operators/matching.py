@@ -111,47 +111,70 @@ class _Index:
 
 #: Letters, digits and the underscore, as parts of a word.
 _PART = r"[\p{L}\p{N}_]"
-#: A year that begins a word.
-_YEAR = rf"(?<!{_PART})((?:19|20)\d\d)"
+#: A year that begins a word; looked behind only where one may be.
+_YEAR = rf"[12](?<!{_PART}.)[09](?<=19|20)\d\d"
 #: Between a name and its year stand at most this many characters, and no bracket that closes.
 WINDOW = 45
+#: Up to so many names of a draft are first looked for as plain text in a passage.
+MANY_NAMES = 20
 
 
-def dated_passages(drafts: DataFrame, key: str, text: Column, reach: int) -> DataFrame:
-    """``key``, stop, year, passage: every year of a text, the place behind it, and what stands before it.
+def dated_passages(text: Column, reach: int) -> Column:
+    """Every year of a text as a struct stop (the place behind it), year, passage (what stands before it).
 
-    passage: the text from the year before it (or the start) up to the year, its last ``reach`` characters. Offsets are running sums
-    of the lengths of the stretches that end in a year, in the JVM (each begins where the last one ended, so a text is gone through once); only years and what is near them leave the text's row.
+    passage: the text from the year before it (or the start) up to the year, its last ``reach`` characters. A text is split at its years once,
+    and places are running sums of what the split gave, in the JVM.
     """
-    stretches = drafts.select(key, F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?){_YEAR}"), F.lit(0)).alias("_stretches"))
-    short = F.transform("_stretches", lambda s: F.struct(F.length(s).alias("n"), F.substr(s, F.greatest(F.length(s) - 3 - reach, F.lit(1)), F.lit(reach + 4)).alias("s")))
-    x = _running(stretches, short)
-    s = F.col("_e.s")
-    cut = F.length(s) - 4
-    return x.select(key, F.col("_e.stop").alias("stop"), F.substr(s, cut + 1, F.lit(4)).cast("int").alias("year"), F.substr(s, F.lit(1), cut).alias("passage"))
+    years, pieces = F.regexp_extract_all(text, F.lit(_YEAR), F.lit(0)), F.split(text, _YEAR)
 
+    def built(y, p):
+        stops = _sums(F.transform(F.slice(p, F.lit(1), F.size(y)), lambda x: F.length(x) + 4))
+        last = lambda x: F.substr(x, F.greatest(F.length(x) - reach + 1, F.lit(1)), F.lit(reach))
+        return _let(stops, lambda at: F.transform(y, lambda year, i: F.struct(F.get(at, i).alias("stop"), year.cast("int").alias("year"), last(F.get(p, i)).alias("passage"))))
 
-def _running(rows: DataFrame, items: Column) -> DataFrame:
-    """The columns of rows, and ``_e`` for each of its items (struct n, s): s, and ``stop``, the sum of n up to and with it."""
-    x = rows.withColumn("_row", F.monotonically_increasing_id()).select(*rows.columns, "_row", F.posexplode(items).alias("_at", "_i"))
-    w = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    return x.select(*rows.columns, F.struct(F.sum("_i.n").over(w).alias("stop"), F.col("_i.s").alias("s")).alias("_e"))
+    return _let(years, lambda y: _let(pieces, lambda p: built(y, p)))
 
 
-def _running_few(items: Column) -> Column:
-    """The same for a short array, within its row."""
-    kind = "array<struct<stop:bigint,s:string>>"
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["stop"], F.lit(0).cast("bigint"))
-    return F.aggregate(items, F.array().cast(kind), lambda a, e: F.array_append(a, F.struct((last(a) + e["n"]).alias("stop"), e["s"].alias("s"))).cast(kind))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def numbered_headings(drafts: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key``, start, section of headings ``# 3. `` and ``**3\\. `` at the start of a line, by running sums like :func:`dated_passages`."""
+def _sums(lengths: Column) -> Column:
+    """The running sums of an array: within stretches of 64, and over the stretches, so that no long array is appended to again and again."""
+    n = 64
+    run = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("bigint")), lambda a, e: F.array_append(a, F.element_at(a, -1) + e))
+
+    def summed(xs):
+        stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / n).cast("int")), lambda i: run(F.slice(xs, i * n + 1, F.lit(n))))
+        over = lambda inner: _let(run(F.transform(inner, lambda x: F.element_at(x, -1))), lambda before: F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(x, 2, n), lambda v: v + F.get(before, i)))))
+        return _let(stretches, over)
+
+    return _let(lengths, summed)
+
+
+def words_at(text: Column) -> Column:
+    """Every word of a text as a struct word, at (characters before it)."""
+    words, gaps = F.regexp_extract_all(text, F.lit(f"{_PART}+"), F.lit(0)), F.split(text, f"{_PART}+")
+
+    def built(w, g):
+        stops = _sums(F.transform(w, lambda x, i: F.length(x) + F.length(F.get(g, i))))
+        return _let(stops, lambda at: F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.get(at, i) - F.length(x)).alias("at"))))
+
+    return _let(words, lambda w: _let(gaps, lambda g: built(w, g)))
+
+
+def numbered_headings(text: Column) -> Column:
+    """Headings ``# 3. `` and ``**3\\. `` at the start of a line as structs start, section, by running sums like :func:`dated_passages`."""
     # Fixed value: the pattern of a numbered heading.
-    pattern = r"(?dms)\G(.*?)^((?:#+[\s\p{Z}]*|\*\*)(\d+)\\?\.[\s\p{Z}])"
-    whole, before, section = (F.regexp_extract_all("_text", F.lit(pattern), F.lit(k)) for k in (0, 1, 3))
-    zipped = F.transform(F.arrays_zip(whole.alias("w"), before.alias("b"), section.alias("s")), lambda e: F.struct(F.length(e["w"]).alias("n"), F.struct((F.length(e["w"]) - F.length(e["b"])).alias("d"), e["s"].alias("v")).alias("s")))
-    return _running(drafts.select(key, text.alias("_text")), zipped).select(key, (F.col("_e.stop") - F.col("_e.s.d")).alias("start"), F.col("_e.s.v").cast("int").alias("section"))
+    pattern = r"(?dm)^(?:#+[\s\p{Z}]*|\*\*)\d+\\?\.[\s\p{Z}]"
+    heads, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+    def built(h, p):
+        stops = _sums(F.transform(h, lambda x, i: F.length(x) + F.length(F.get(p, i))))
+        return _let(stops, lambda at: F.transform(h, lambda x, i: F.struct((F.get(at, i) - F.length(x)).alias("start"), F.regexp_extract(x, r"\d+", 0).cast("int").alias("section"))))
+
+    return _let(heads, lambda h: _let(pieces, lambda p: built(h, p)))
 
 
 def citing_sections(references: DataFrame, drafts: DataFrame, key: str, text: str, name: str, year: str, slack: int = 1) -> DataFrame:
@@ -163,23 +186,24 @@ def citing_sections(references: DataFrame, drafts: DataFrame, key: str, text: st
     Images and the reference list are left out of the draft first; case, accents and kinds of dash do not matter; mentions before
     the first heading belong to no section. Repeated references stay repeated; a null or unknown draft cites nothing.
 
-    The text is looked through once, for years. Each word near a year is a row that references of the same draft meet by their first word;
+    Drafts meet the first words of their references first, each text once, so only passages that hold such a word become rows, and of these only such words;
     the rest of a name is compared in place. Headings are found by an as-of scan, so no mention is paired with a heading.
     """
-    refs = references.withColumn("_r", F.monotonically_increasing_id())
-    body = F.regexp_replace(F.col(text), r"(?dm)^\[image\d+\]:.*$", "")
-    d = drafts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, T.before_bibliography(body).alias("_raw")).withColumn("_t", U.folded("_raw"))
-    folded_name = U.folded(F.col(name))
+    refs = staged(references.withColumn("_r", F.monotonically_increasing_id()))
+    body = F.when(F.contains(F.col(text), F.lit("[image")), F.regexp_replace(F.col(text), r"(?dm)^\[image\d+\]:.*$", "")).otherwise(F.col(text))
     first = F.regexp_extract("_name", rf"{_PART}+", 0)
-    names = staged(refs.select(key, "_r", folded_name.alias("_name"), F.col(year).cast("int").alias("_y")).where(F.length("_name") >= 2).withColumn("_first", first).where("_first <> ''"))
+    names = staged(refs.select(key, "_r", U.folded(F.col(name)).alias("_name"), F.col(year).cast("int").alias("_y")).where(F.length("_name") >= 2).withColumn("_first", first).where("_first <> ''"))
     longest = names.agg(F.max(F.length("_name"))).first()[0] or 0
-    # one index row for each word near a year: the word, where it starts in the passage, and the year
-    near = staged(dated_passages(d, key, F.col("_t"), longest + WINDOW + 1))
-    starts = F.regexp_extract_all("passage", F.lit(rf"(?s)\G(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(0))
-    word = F.regexp_extract_all("passage", F.lit(rf"(?s)\G(.*?)(?<!{_PART})(?={_PART})({_PART}+)"), F.lit(2))
-    each = F.transform(F.arrays_zip(starts.alias("w"), word.alias("x")), lambda e: F.struct(F.length(e["w"]).alias("n"), e["x"].alias("s")))
-    index = near.select(key, "stop", "year", "passage", F.explode(_running_few(each)).alias("_e")).select(key, "stop", "year", "passage", F.col("_e.s").alias("_first"), (F.col("_e.stop") - F.length("_e.s")).alias("_at"))
-    met = names.join(index, [key, "_first"]).where(F.col("_y").isNull() | (F.abs(F.col("year") - F.col("_y")) <= slack))
+    firsts = names.groupBy(key).agg(F.collect_set("_first").alias("_firsts"))
+    d = drafts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, T.before_bibliography(body).alias("_raw"))
+    holds = lambda p: (F.size("_firsts") > MANY_NAMES) | F.exists("_firsts", lambda x: F.contains(p["passage"], x))
+    meets = lambda p: holds(p) & F.arrays_overlap(F.regexp_extract_all(p["passage"], F.lit(f"{_PART}+"), F.lit(0)), F.col("_firsts"))
+    d = d.join(firsts.hint("shuffle_hash"), key).withColumn("_t", U.folded("_raw"))
+    seen = staged(d.select(key, "_firsts", F.filter(dated_passages(F.col("_t"), longest + WINDOW + 1), meets).alias("_passages"), numbered_headings(F.col("_raw")).alias("_heads")))
+    near = seen.select(key, "_firsts", F.explode("_passages").alias("_p")).select(key, "_firsts", "_p.*")
+    # one index row for each word near a year that begins a name: the word, where it starts in the passage, and the year
+    index = near.select(key, "stop", "year", "passage", F.explode(F.filter(words_at(F.col("passage")), lambda w: F.array_contains(F.col("_firsts"), w["word"]))).alias("_e"))
+    met = names.join(index.select(key, "stop", "year", "passage", F.col("_e.word").alias("_first"), F.col("_e.at").alias("_at")), [key, "_first"]).where(F.col("_y").isNull() | (F.abs(F.col("year") - F.col("_y")) <= slack))
     # the name starts where its first word does, less what stands before that word in the name
     at = F.col("_at") - (F.instr(F.col("_name"), F.col("_first")) - 1)
     n, p = F.length("_name"), F.col("passage")
@@ -193,7 +217,7 @@ def citing_sections(references: DataFrame, drafts: DataFrame, key: str, text: st
     hit = (at >= 0) & (F.substr(p, i + 1, n) == F.col("_name")) & begins & ends & (F.length(gap) <= WINDOW) & ~gap.rlike(r"[)\]]")
     start = F.col("stop") - 4 - F.length(p) + at
     mentions = met.where(hit).groupBy("_r", key, "stop").agg(F.min(start).alias("start"))  # a name twice before one year is one mention
-    heads = numbered_headings(d, key, F.col("_raw"))
-    placed = as_of(mentions.select("_r", key, "start"), heads, [key], ["start"], "section").where("section is not null")
+    heads = seen.select(key, F.explode("_heads").alias("_h")).select(key, "_h.*")
+    placed = as_of(staged(mentions.select("_r", key, "start")), heads, [key], ["start"], "section").where("section is not null")
     sections = placed.groupBy("_r").agg(F.array_sort(F.collect_set("section")).alias("sections"))
     return refs.join(sections, "_r", "left").select(*references.columns, F.coalesce("sections", F.array().cast("array<int>")).alias("sections"))

@@ -487,7 +487,7 @@ def cited_names(t: Tables) -> DataFrame:
     return t.documents.select(d, F.explode(F.array(
         F.struct(name(r"^\s*(\S+)").alias("name"), (d % 30 + 1990).cast("int").alias("year")),
         F.struct(name(r"^[^,]*?(\S+),").alias("name"), (d % 30 + 1991).cast("int").alias("year")),
-        F.struct(name(r"(\S+ \S+)\W*$").alias("name"), lit(None).cast("int").alias("year")),
+        F.struct(name(r"(?<!\S)(\S++ \S++)\W*+$").alias("name"), lit(None).cast("int").alias("year")),
     )).alias("r")).select("doc_id", "r.*")
 
 

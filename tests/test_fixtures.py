@@ -178,6 +178,33 @@ def test_citing_sections_of_the_table(spark):
     assert sum(r.sections != "" for r in got) > 100
 
 
+def shuffled(spark):
+    """Bytes of shuffle files written so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_citing_sections_shuffle_their_texts_once(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = ["\n# 1. A\n" + " ".join(w for _ in range(300) for w in (*[word() for _ in range(9)], "(2012)")) + "\n# 2. B\nRey 2012" for _ in range(40)]
+    drafts = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    refs = spark.createDataFrame([(d, n, 2012) for d in range(40) for n in ("Rey", "Absent")], "d long, n string, y int")
+    before, kept = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many references
+    try:
+        got = matching.citing_sections(refs, drafts, "d", "t", "n", "y").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert all(r.sections == ([2] if r.n == "Rey" else []) for r in got) and len(got) == 80
+    assert shuffled(spark) - before < 1.5 * sum(map(len, texts))
+
+
+def test_sums_of_long_arrays(spark):
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        assert spark.range(1).select(matching._sums(F.transform(F.array(*map(lit, range(n))) if n else F.array().cast("array<int>"), lambda x: x))).first()[0] == [i * (i + 1) // 2 for i in range(n)]
+
+
 def test_titles_in_pages(spark):
     rng = random.Random(1)
     words = [f"w{min(int(rng.expovariate(0.15)), 60)}" for _ in range(5000)]
@@ -193,12 +220,6 @@ def test_titles_in_pages(spark):
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "Join Cross" not in plan
 
 
-def shuffled(spark):
-    """Bytes of shuffle files written so far."""
-    spark._jsc.sc().listenerBus().waitUntilEmpty()
-    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
-
-
 def test_titles_in_pages_by_blocks(spark):
     rng = random.Random(2)
     titles = [(f"t{i}", [f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 7))]) for i in range(120)]
