@@ -1218,14 +1218,16 @@ def s37_open_access_url(t):
     return t.pages.select("page_id", landed.open_access_url(payload).alias("url"))
 
 
-@query("SELECT event_id::VARCHAR AS id, user_id::INT AS year, event_type AS first_author, event_id AS crossref_citations FROM events")
+@query("SELECT event_id, user_id::INT AS year, event_type AS first_author, event_id AS crossref_citations, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def s40_registry_metadata(t):
-    """Registry answers that were landed as pages."""
-    answer = F.concat(lit('{"message":{"issued":{"date-parts":[['), c("user_id").cast("string"), lit(']]},"author":[{"family":"'), "event_type", lit('"}],"is-referenced-by-count":'), c("event_id").cast("string"), lit("}}"))
+    """Registry answers that were landed as pages, and a number from the properties that each answer carries as a text."""
+    props = F.coalesce(F.regexp_extract(F.to_json(F.array("props")), r"(?s)^\[(.*)\]$", 1), lit("null"))
+    answer = F.concat(lit('{"message":{"issued":{"date-parts":[['), c("user_id").cast("string"), lit(']]},"author":[{"family":"'), "event_type", lit('"}],"is-referenced-by-count":'), c("event_id").cast("string"), lit(',"props":'), props, lit("}}"))
     path = files.scratch(t.spark) + "/registry"
     pages.land(t.events, F.expr("event_id div 5000"), c("event_id"), answer, path)
     got = pages.read(t.spark, path)
-    return got.select("id", landed.reduced(c("payload")).alias("m")).select("id", "m.year", "m.first_author", "m.crossref_citations")
+    k = F.get_json_object(F.get_json_object("payload", "$.message.props"), "$.k").cast("bigint")
+    return got.select(c("id").cast("bigint").alias("event_id"), landed.reduced(c("payload")).alias("m"), k.alias("k")).select("event_id", "m.year", "m.first_author", "m.crossref_citations", "k")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Server ' || page_id WHEN page_id % 3 = 1 THEN 'Publisher' END AS venue FROM pages")

@@ -567,3 +567,12 @@ def test_files(spark, tmp_path):
     files.append_log(log, f"{lib}/log")
     files.append_log(log, f"{lib}/log")
     assert spark.read.parquet(f"{lib}/log").count() == 6
+
+
+def test_registry_metadata_reads_properties(spark, tmp_path):
+    props = ['{"k": 7}', '{"a": "]\\"\\n", "k": -2}', '{"b": [1, 2]}', "", None, '{"k": null}']
+    rows = [(5000 * i + i, 2000 + i, f"name{i}", x) for i, x in enumerate(props)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["s40_registry_metadata"](spark, str(tmp_path))
+    want = [(i, y, n, i, k) for (i, y, n, _), k in zip(rows, [7, -2, None, None, None, None], strict=True)]
+    assert got.columns == ["event_id", "year", "first_author", "crossref_citations", "k"] and sorted(map(tuple, got.collect())) == want
